@@ -47,9 +47,15 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Write ``df`` as Parquet and return the table read back."""
+    def save(self, df: DataFrame, name: str, compression: str = "zstd", few: bool = False) -> DataFrame:
+        """Write ``df`` as Parquet and return the table read back.
+
+        ``few``: in no more files than the cluster has cores, for tables of a few
+        bytes per document.
+        """
         at = self.path(name)
+        if few:
+            df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
         df.write.option("compression", compression).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out.scratch_path = at
@@ -104,11 +110,11 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         at = min(to, n)
 
 
-def text_blocks(batches, text: str = "text") -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+def text_blocks(batches, text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
     """(batch, first row, end row, bytes, offsets from 0) for blocks of each Arrow batch."""
     for batch in batches:
         raw, off = text_buffer(batch.column(batch.schema.get_field_index(text)))
-        for a, b in blocks(off):
+        for a, b in blocks(off, size):
             yield batch, a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
 
 

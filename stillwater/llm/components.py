@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     ignored.
     """
     now = scratch.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", few=True
     )
     state = None
     while True:
@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = scratch.save(small, "edges")
+        after = scratch.save(small, "edges", few=True)
         seen = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         scratch.drop(now)
         now = after

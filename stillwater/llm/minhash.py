@@ -12,11 +12,12 @@ Links are found without listing the pairs of a bucket:
 1. documents with equal shingle sets are one class, and only the class's
    smallest id goes on;
 2. in a first round each class is compared with one class, the one that most
-   often is the smallest in its buckets;
+   often is the most popular in its buckets;
 3. in later rounds a bucket whose members already share a component is done; in
-   the others the smallest remaining members (8, then 32, 128, ...) are compared
-   with the members of other components, until none is left.  No pair that could
-   join two components is skipped.
+   the others the first remaining members, by size of component and popularity
+   (4, then 16, 64, ...), are compared with the members of other components,
+   until none is left.  A pair is skipped only if it was tested, or if the
+   triangle inequality of Jaccard distance rules it out.
 
 With 48 bands of 5 rows a pair of similarity 0.75 shares no band with
 probability 2.3e-6, one of 0.8 with 5e-9.
@@ -35,6 +36,8 @@ from .components import connected_components
 RING_BITS = 20
 BANDS, ROWS = 48, 5
 THRESHOLD = (75, 100)
+#: Members of an open bucket that the first of the later rounds compares with the others.
+FIRST_PIVOTS = 4
 
 
 class Circulant:
@@ -95,22 +98,80 @@ def _confirm(batches):
             data, offsets = text_buffer(batch.column(batch.schema.get_field_index(name)))
             for a in range(batch.num_rows):
                 out.append((data[offsets[a] : offsets[a + 1]], np.array([0, offsets[a + 1] - offsets[a]])))
-        linked, memo, memo_of = np.zeros(batch.num_rows, bool), None, -1
-        ids = batch.column(0).to_pylist()
+        linked, far = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+        ids, memo, memo_of = batch.column(0).to_pylist(), None, None
         for k, (x, y) in enumerate(zip(left, right)):
-            if ids[k] != memo_of:
+            if memo is None or ids[k] != memo_of:
                 memo, memo_of = shingle_sets(*x)[0], ids[k]
             other = shingle_sets(*y)[0]
             common = len(np.intersect1d(memo, other, assume_unique=True))
-            linked[k] = common > 0 and THRESHOLD[1] * common >= THRESHOLD[0] * (len(memo) + len(other) - common)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
+            union = len(memo) + len(other) - common
+            linked[k] = common > 0 and THRESHOLD[1] * common >= THRESHOLD[0] * union
+            far[k] = 2 * common < union
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), pa.array(far)], ["a", "b", "linked", "far"])
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Exact test of ``pairs(a, b)`` on the full shingle sets of ``docs(id, text)``."""
+    """Exact test of ``pairs(a, b)`` on the full shingle sets of ``docs(id, text)``.
+
+    ``linked``: similarity of 0.75 or more; ``far``: less than 0.5.
+    """
     with_a = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean, far boolean")
+
+
+def linked_classes(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members(key, rep, n)`` of the buckets to ``(node, label)`` of all that link.
+
+    Popular members (those with many companions over all their buckets) come
+    first, as they are the likeliest to be what others are copies of.
+    """
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
+    popular = scratch.save(sized.groupBy("rep").agg(F.sum("size").alias("pop"), F.max("n").alias("n")), "popular", few=True)
+    ranked = members.select("key", "rep").join(popular, "rep")
+    top = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("t")).select("key", (-F.col("t.r")).alias("center"))
+    votes = members.join(top, "key").where("rep <> center").groupBy("rep", "center").count()
+    best = votes.groupBy("rep").agg(F.max(F.struct("count", (-F.col("center")).alias("c"))).alias("best"))
+    pairs = best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub"), F.col("b").alias("rep"))
+    pairs = scratch.save(pairs, "pairs", few=True)
+    tested = scratch.save(confirm(pairs.select("a", "b").distinct(), docs), "tested", few=True)
+    hubs = scratch.save(pairs.join(tested.where("linked"), ["a", "b"]).select("rep", "hub").distinct(), "hubs", few=True)
+    labels = connected_components(tested.where("linked").select("a", "b"), scratch)
+
+    active, pivots = members.select("key", "rep"), FIRST_PIVOTS
+    while True:
+        sizes = labels.groupBy("label").agg(F.count("*").alias("lsize"))
+        state = popular.join(labels, popular.rep == labels.node, "left").select("rep", "pop", "n", F.coalesce("label", "rep").alias("label"))
+        state = state.join(sizes, "label", "left").select("rep", "pop", "n", "label", F.coalesce("lsize", F.lit(1)).alias("lsize"))
+        named = active.join(state, "rep")
+        open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        named = scratch.save(named.join(open_, "key", "left_semi"), "open", few=True)
+        if named.isEmpty():
+            return labels
+        order = Window.partitionBy("key").orderBy(F.desc("lsize"), F.desc("pop"), "rep")
+        first = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+        first = scratch.save(first.select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp")), "pivots", few=True)
+        found = (
+            named.join(first, "key")
+            .where("label <> lp")
+            .where(f"{THRESHOLD[1]} * least(n, np) >= {THRESHOLD[0]} * greatest(n, np)")
+            .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
+            .distinct()
+            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        )
+        # a text less than 0.5 similar to a hub is less than 0.75 similar to every text that is 0.75 similar to the hub
+        apart = tested.where("far").select("a", "b")
+        apart = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        for x, y in (("a", "b"), ("b", "a")):
+            known = found.join(hubs.select(F.col("rep").alias(x), F.col("hub").alias("h")), x, "left")
+            found = known.join(apart.select(F.col("a").alias(y), F.col("b").alias("h")), [y, "h"], "left_anti").select("a", "b")
+        news = scratch.save(confirm(scratch.save(found, "pairs", few=True), docs), "tested", few=True)
+        tested = tested.unionByName(news)
+        if not news.where("linked").isEmpty():
+            labels = connected_components(tested.where("linked").select("a", "b"), scratch)
+        active = named.select("key", "rep").join(first.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti")
+        pivots *= 4
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,55 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"))
     keyed = signed.select("id", "bands", "n").join(reps, "id", "left_semi")
     rows = keyed.select(F.explode("bands").alias("key"), F.col("id").alias("rep"), "n")
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("top")).where("center < top").select("key", "center")
-    members = scratch.save(rows.join(buckets, "key").distinct(), "members")
-
-    votes = members.where("rep <> center").groupBy("rep", "center").count()
-    first = votes.groupBy("rep").agg(F.max(F.struct(F.col("count"), (-F.col("center")).alias("c"))).alias("best"))
-    pairs = scratch.save(first.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), "pairs")
-    tested = [pairs]
-    edges = [scratch.save(confirm(pairs, docs).where("linked").select("a", "b"), "links")]
-    labels = connected_components(edges[0], scratch)
-
-    active = members.select("key", "rep", "n")
-    pivots = 8
-    while True:
-        named = (
-            active.join(labels, active.rep == labels.node, "left")
-            .select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        )
-        open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        named = scratch.save(named.join(open_, "key", "left_semi"), "open")
-        if named.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy("rep")
-        pivot = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        pivot = scratch.save(pivot.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), "pivots")
-        found = (
-            named.join(pivot, "key")
-            .where("rep > a and label <> la")
-            .where(f"{THRESHOLD[1]} * least(n, na) >= {THRESHOLD[0]} * greatest(n, na)")
-            .select("a", F.col("rep").alias("b"))
-            .distinct()
-        )
-        for old in tested:
-            found = found.join(old, ["a", "b"], "left_anti")
-        pairs = scratch.save(found, "pairs")
-        tested.append(pairs)
-        links = scratch.save(confirm(pairs, docs).where("linked").select("a", "b"), "links")
-        edges.append(links)
-        grown = edges[0]
-        for e in edges[1:]:
-            grown = grown.unionByName(e)
-        if not links.isEmpty():
-            labels = connected_components(grown, scratch)
-        used = pivot.select("key", F.col("a").alias("rep"))
-        active = named.select("key", "rep", "n").join(used, ["key", "rep"], "left_anti")
-        pivots *= 4
+    buckets = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    members = scratch.save(rows.join(buckets, "key", "left_semi").distinct(), "members")
+    labels = linked_classes(members, docs, scratch)
 
     named = classes.join(labels, classes.rep == labels.node, "left").select("f1", "f2", F.coalesce("label", "rep").alias("label"))
     named = scratch.save(named, "labels")
-    scratch.drop(members, *tested)
+    scratch.drop(members)
     out = (
         signed.select("id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2")
         .join(named, ["f1", "f2"], "left")
