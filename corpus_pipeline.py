@@ -1,24 +1,67 @@
-"""The corpus pipeline: stages over ``documents``, each one of the llm operators."""
+"""The corpus pipeline: five stages over ``documents``, each one of the llm operators.
+
+Every stage takes the rows that the one before it kept and decides on them
+alone.  All but the last return rows with the columns of ``documents``:
+
+* quality rules: rejected documents go;
+* near duplicates: of every group the document with the smallest id stays;
+* repeated strings: every 400-byte string that starts twice is cut from the
+  texts, and ``n_chars`` counted anew; no document goes;
+* decontamination: documents with benchmark windows over 5 % or more of their
+  words go;
+* packing: pieces of the documents in sequences of 4096 ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stillwater.llm import queries
 from stillwater.llm.common import Scratch
+from stillwater.llm.decontaminate import contamination
+from stillwater.llm.minhash import near_duplicates
+from stillwater.llm.packing import pack_documents
 from stillwater.llm.quality import quality_filter
+from stillwater.llm.suffix_dedup import without_repeats
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without an id stay: nothing names the row that would replace them."""
+    dropped = near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeats(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contamination(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("repeated strings", repeated_string_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
+#: The near-duplicate, token and checksum stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages on ``documents``, each written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

@@ -90,7 +90,7 @@ def bucket(v: Column) -> Column:
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket) with the number of documents; adding rows merges sketches."""
     values = F.array(*[
-        F.struct(F.lit(m).alias("m"), bucket(F.expr(f"{scale} * {num} div {den}")).alias("b")) for m, (num, den, scale, _, _) in MEASURES.items()
+        F.struct(F.lit(m).alias("m"), bucket(F.expr(f"{scale} * {num} div nullif({den}, 0)")).alias("b")) for m, (num, den, scale, _, _) in MEASURES.items()
     ])
     return (
         counted.where("not base_failed")
@@ -143,7 +143,7 @@ def judged(counted: DataFrame, scratch: Scratch) -> DataFrame:
     match = counted.lang.eqNullSafe(limits.lang_) & counted.source.eqNullSafe(limits.source_)
     inside = F.lit(True)
     for m, (num, den, scale, _, _) in MEASURES.items():
-        v = F.expr(f"{scale} * {num} div {den}")
+        v = F.expr(f"{scale} * {num} div nullif({den}, 0)")
         inside = inside & F.coalesce(v <= F.col(f"{m}_hi"), F.lit(True)) & F.coalesce(v >= F.col(f"{m}_lo"), F.lit(True))
     return counted.join(limits, match, "left").withColumn("kept", ~F.col("base_failed") & inside)
 
