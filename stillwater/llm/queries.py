@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from . import decontaminate, langid, licenses, minhash, packing, quality, records, suffix_dedup, toxicity
+
+from . import decontaminate, langid, licenses, lm_scoring, minhash, packing, quality, records, suffix_dedup, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = None
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_decontaminate, op3_minhash, op4_licenses, op5_suffix_dedup, op6_language_id,
+        op1_lm_scoring, op2_decontaminate, op3_minhash, op4_licenses, op5_suffix_dedup, op6_language_id,
         op7_token_records, op8_quality, op9_packing, op10_toxicity,
     )
 }

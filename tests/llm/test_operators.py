@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("stillwater.llm.queries")
 
 import corpus_pipeline
-from stillwater.llm import common, decontaminate, langid, licenses, minhash, packing, quality, queries, records, suffix_dedup, toxicity
+from stillwater.llm import common, decontaminate, langid, licenses, lm_scoring, minhash, packing, quality, queries, records, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, n_words int"
 
@@ -390,6 +390,54 @@ def test_toxicity_separates_planted_words(spark, empty):
     assert toxicity.toxicity(docs, marks.limit(0)).count() == len(rows)
 
 
+# ---------------------------------------------------------------- language model
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+@pytest.mark.parametrize("which", ["odd", "small", "empty"])
+def test_language_model_counts_equal_brute_force(which, shards, request, monkeypatch):
+    import math
+
+    docs = request.getfixturevalue(which)
+    rows = [(r.doc_id, spaced(r.text) + [None]) for r in docs.collect()]
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", max(1, -(-size // shards)))
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    counts = Counter(w for (_, ws), h in zip(rows, held) if not h for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((i is None, i or 0, h, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for (i, ws), h in zip(rows, held))
+    got = lm_scoring.language_model_scores(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_language_model_learns_contexts(spark):
+    rng = random.Random(0)
+    follow = {f"w{k}": [f"w{rng.randrange(60)}" for _ in range(3)] for k in range(60)}
+    rows = []
+    for k in range(300):
+        w = [f"w{rng.randrange(60)}"]
+        for _ in range(60):
+            w.append(rng.choice(follow[w[-1]]))
+        rows.append((k, " ".join(w)))
+    got = lm_scoring.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
+
+
+def test_seating_follows_the_chinese_restaurant():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    # three customers, by enumeration: weights of 1, 2, 3 tables are w(1-d)(2-d), 3 w^2 (1-d), w^3
+    w, d = 0.7, 0.4
+    p = np.array([w * (1 - d) * (2 - d), 3 * w * w * (1 - d), w**3])
+    mean = (p / p.sum()) @ [1, 2, 3]
+    got = lm_scoring.sampled_tables(np.full(20000, 3), np.full(20000, w), d, rng).mean()
+    assert abs(got - mean) < 0.02
+    large, _ = lm_scoring.seat(np.array([10**6]), np.array([2.0]), 0.5, rng)
+    assert 5 < large[0] < 80
+
+
 # ---------------------------------------------------------------- licenses
 
 
