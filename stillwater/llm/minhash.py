@@ -13,7 +13,9 @@ Links are found without listing the pairs of a bucket:
    smallest id goes on;
 2. in a first round each class is compared with one class, the one that most
    often is the most popular in its buckets;
-3. in later rounds a bucket whose members already share a component is done; in
+3. classes that share a bucket with a large component are compared with all its
+   members, by blocks;
+4. in later rounds a bucket whose members already share a component is done; in
    the others the first remaining members, by size of component and popularity
    (4, then 16, 64, ...), are compared with the members of other components,
    until none is left.  A pair is skipped only if it was tested, or if the
@@ -38,6 +40,8 @@ BANDS, ROWS = 48, 5
 THRESHOLD = (75, 100)
 #: Members of an open bucket that the first of the later rounds compares with the others.
 FIRST_PIVOTS = 4
+#: Classes of a large component, and classes by classes that one task compares.
+LARGE, BLOCK = 32, 384
 
 
 class Circulant:
@@ -121,6 +125,67 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean, far boolean")
 
 
+def _compare_blocks(batches):
+    """Rows sorted by block, the component's members before the others; a link of each other row that has one."""
+    block, index, a, b = None, None, [], []
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
+        for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+            where, other, node = row[:3], row[3], row[4]
+            shingles = shingle_sets(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[0]
+            if where != block:
+                block, held, index = where, [], None
+            if not other:
+                held.append((node, shingles))
+                continue
+            if not held:
+                continue
+            if index is None:
+                flat = np.concatenate([s for _, s in held])
+                owner = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+                order = np.argsort(flat, kind="stable")
+                index = flat[order], owner[order], np.array([len(s) for _, s in held])
+            lo, hi = np.searchsorted(index[0], shingles, "left"), np.searchsorted(index[0], shingles, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            common = np.bincount(index[1][at], minlength=len(held))
+            hit = np.flatnonzero((common > 0) & (THRESHOLD[1] * common >= THRESHOLD[0] * (len(shingles) + index[2] - common)))
+            if len(hit):
+                a.append(node)
+                b.append(held[hit[0]][0])
+        if len(a) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def links_to_large(members: DataFrame, state: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """A link, if there is one, between each class and each large component it shares a bucket with.
+
+    The class is compared with all members of the component, block by block:
+    ``BLOCK`` by ``BLOCK`` classes in a task, counted there by an inverted index,
+    so no pair becomes a row and no component is gathered in one place.
+    """
+    named = members.join(state, "rep").select("key", "rep", "label", "lsize")
+    large = named.where(F.col("lsize") >= LARGE).select("key", F.col("label").alias("big"), F.col("lsize").alias("bsize")).distinct()
+    asks = named.join(large, "key").where("label <> big and (lsize < bsize or (lsize = bsize and label > big))").select("rep", "big", "bsize").distinct()
+    asks = scratch.save(asks, "asks", few=True)
+    if asks.isEmpty():
+        return None
+    plan = asks.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"), F.ceil(F.max("bsize") / BLOCK).cast("int").alias("columns"))
+    part = F.xxhash64("rep")
+    others = asks.select("rep", "big").join(plan, "big").select(
+        "big", F.pmod(part, F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(True).alias("other"), F.col("rep").alias("id")
+    )
+    own = state.select("rep", F.col("label").alias("big")).join(plan, "big").select(
+        "big", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(part, F.col("columns")).cast("int").alias("j"), F.lit(False).alias("other"), F.col("rep").alias("id")
+    )
+    rows = others.unionByName(own).join(docs, "id").select("big", "i", "j", "other", "id", "text")
+    dealt = rows.repartition("big", "i", "j").sortWithinPartitions("big", "i", "j", "other")
+    return scratch.save(dealt.mapInArrow(_compare_blocks, "a long, b long"), "large", few=True)
+
+
 def linked_classes(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``members(key, rep, n)`` of the buckets to ``(node, label)`` of all that link.
 
@@ -139,12 +204,23 @@ def linked_classes(members: DataFrame, docs: DataFrame, scratch: Scratch) -> Dat
     hubs = scratch.save(pairs.join(tested.where("linked"), ["a", "b"]).select("rep", "hub").distinct(), "hubs", few=True)
     labels = connected_components(tested.where("linked").select("a", "b"), scratch)
 
-    active, pivots = members.select("key", "rep"), FIRST_PIVOTS
-    while True:
+    def state_of(labels: DataFrame) -> DataFrame:
         sizes = labels.groupBy("label").agg(F.count("*").alias("lsize"))
         state = popular.join(labels, popular.rep == labels.node, "left").select("rep", "pop", "n", F.coalesce("label", "rep").alias("label"))
-        state = state.join(sizes, "label", "left").select("rep", "pop", "n", "label", F.coalesce("lsize", F.lit(1)).alias("lsize"))
-        named = active.join(state, "rep")
+        return state.join(sizes, "label", "left").select("rep", "pop", "n", "label", F.coalesce("lsize", F.lit(1)).alias("lsize"))
+
+    # after this no class links with a component that was large, unless it has joined it
+    state = scratch.save(state_of(labels), "state", few=True)
+    settled = state.where(F.col("lsize") >= LARGE).select("rep")
+    links = tested.where("linked").select("a", "b")
+    more = links_to_large(members, state, docs, scratch)
+    if more is not None:
+        links = scratch.save(links.unionByName(more), "links", few=True)
+        labels = connected_components(links, scratch)
+
+    active, pivots = members.select("key", "rep"), FIRST_PIVOTS
+    while True:
+        named = active.join(state_of(labels), "rep").join(settled, "rep", "left_anti")
         open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         named = scratch.save(named.join(open_, "key", "left_semi"), "open", few=True)
         if named.isEmpty():
@@ -169,7 +245,8 @@ def linked_classes(members: DataFrame, docs: DataFrame, scratch: Scratch) -> Dat
         news = scratch.save(confirm(scratch.save(found, "pairs", few=True), docs), "tested", few=True)
         tested = tested.unionByName(news)
         if not news.where("linked").isEmpty():
-            labels = connected_components(tested.where("linked").select("a", "b"), scratch)
+            links = links.unionByName(news.where("linked").select("a", "b"))
+            labels = connected_components(links, scratch)
         active = named.select("key", "rep").join(first.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti")
         pivots *= 4
 

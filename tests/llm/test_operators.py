@@ -99,14 +99,17 @@ def test_near_duplicates_equal_brute_force(which, request):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_near_duplicates_of_a_large_group_and_a_common_passage(spark):
+@pytest.mark.parametrize("large", [3, 32])
+def test_near_duplicates_of_a_large_group_and_a_common_passage(spark, large, monkeypatch):
     """Chains of edits whose ends are not similar, and unlike texts that share a passage."""
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
     rng = random.Random(4)
     base, passage = words_of(9, 200).split(), words_of(10, 60)
     rows = []
     for k in range(60):
         w = list(base)
-        for _ in range(rng.randrange(1, 4)):
+        for _ in range(rng.randrange(1, 9)):
             w[rng.randrange(len(w))] = f"e{k}"
         rows.append((k, " ".join(w)))
     rows += [(100 + k, passage + " " + words_of(50 + k, 90)) for k in range(40)]
