@@ -1,7 +1,6 @@
 """The read-only line protocol: commands parsed, responses framed, per connection and in order."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +39,7 @@ def framed_stream(chunks: DataFrame) -> DataFrame:
     ``ms`` command and its CRLF are skipped.  An incomplete last command is not
     returned.  A connection is bounded by its own traffic in the batch.
     """
-    import pandas as pd
-
-    def cut(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cut(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data, lines = b"".join(bytes(x) for x in pdf.sort_values("seq")["data"]), []
         at = 0
         while (end := data.find(b"\r\n", at)) >= 0:

@@ -61,7 +61,7 @@ def version_states(events: DataFrame, timeout_seconds: int = BUILD_TIMEOUT) -> D
         yield pd.DataFrame({"version": [key[0]], "state": [now]})
 
     return events.groupBy("version").applyInPandasWithState(
-        run, "version string, state string", "state string, since double", "update", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"version {events.schema['version'].dataType.simpleString()}, state string", "state string, since double", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
