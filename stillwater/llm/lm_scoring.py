@@ -39,7 +39,7 @@ from .common import Scratch, id_remainder, mix, remove_path, text_blocks, word_h
 from .records import open_folder
 
 #: Text bytes of one chunk and of one shard (a shard holds the pairs of so much text).
-CHUNK_BYTES, SHARD_BYTES = 48 << 20, 32 << 20
+CHUNK_BYTES, SHARD_BYTES = 14 << 20, 12 << 20
 END = np.uint64(0x243F6A8885A308D3)
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 4
