@@ -18,8 +18,9 @@ Links are found without listing the pairs of a bucket:
 4. in later rounds a bucket whose members already share a component is done; in
    the others the first remaining members, by size of component and popularity
    (4, then 16, 64, ...), are compared with the members of other components,
-   until none is left.  A pair is skipped only if it was tested, or if the
-   triangle inequality of Jaccard distance rules it out.
+   until none is left.  A pair is skipped only if it was tested, if its
+   signatures differ too much, or if the triangle inequality of Jaccard distance
+   rules it out.
 
 With 48 bands of 5 rows a pair of similarity 0.75 shares no band with
 probability 2.3e-6, one of 0.8 with 5e-9.
@@ -38,6 +39,11 @@ from .components import connected_components
 RING_BITS = 20
 BANDS, ROWS = 48, 5
 THRESHOLD = (75, 100)
+#: Longs that hold one bit of every coordinate, and bits that may differ in a candidate of the later rounds:
+#: an eighth of them differ at similarity 0.75 on average, and more than the limit with probability 1e-6.
+WORDS = -(-BANDS * ROWS // 64)
+BITS = [f"b{k}" for k in range(WORDS)]
+MAX_DIFFERENT = 56
 #: Members of an open bucket that the first of the later rounds compares with the others.
 FIRST_PIVOTS = 4
 #: Classes of a large component, and classes by classes that one task compares.
@@ -63,13 +69,20 @@ class Circulant:
             np.minimum(low, self.shifted[places[a : a + 1024]].min(axis=0), out=low)
         return low
 
-    def bands(self, shingles: np.ndarray, rows: int = ROWS) -> np.ndarray:
-        values = self.signature(shingles).reshape(-1, rows).astype(np.uint64)
+    @staticmethod
+    def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+        values = signature.reshape(-1, rows).astype(np.uint64)
         h = np.arange(len(values), dtype=np.uint64)
         for j in range(rows):
             h = mix(h * np.uint64(0xE7037ED1A0B428DB) + values[:, j] + np.uint64(1))
         return h.view(np.int64)
 
+    @staticmethod
+    def bits(signature: np.ndarray) -> np.ndarray:
+        """The lowest bit of every coordinate, in longs."""
+        packed = np.packbits((signature & 1).astype(np.uint8))
+        return np.pad(packed, (0, 8 * WORDS - len(packed))).view(np.int64)
+
 
 def _signatures(batches):
     rings = Circulant()
@@ -77,7 +90,9 @@ def _signatures(batches):
         sets = shingle_sets(data, offsets)
         sizes = np.array([len(s) for s in sets], np.int64)
         prints = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], np.uint64)
-        keys = [rings.bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]
+        signed = [rings.signature(s) if len(s) else None for s in sets]
+        keys = [np.zeros(0, np.int64) if s is None else rings.bands(s) for s in signed]
+        bits = np.array([np.zeros(WORDS, np.int64) if s is None else rings.bits(s) for s in signed])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).slice(a, b - a),
@@ -85,14 +100,15 @@ def _signatures(batches):
                 pa.array(prints[:, 0].view(np.int64)),
                 pa.array(prints[:, 1].view(np.int64)),
                 long_list(np.concatenate(keys), [len(k) for k in keys]),
+                *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)],
             ],
-            ["id", "n", "f1", "f2", "bands"],
+            ["id", "n", "f1", "f2", "bands", *BITS],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, text) to set size, 128-bit set fingerprint and band keys."""
-    return docs.mapInArrow(_signatures, "id long, n long, f1 long, f2 long, bands array<long>")
+    """(id, text) to set size, 128-bit set fingerprint, band keys and one bit per coordinate."""
+    return docs.mapInArrow(_signatures, "id long, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _confirm(batches):
@@ -186,14 +202,15 @@ def links_to_large(members: DataFrame, state: DataFrame, docs: DataFrame, scratc
     return scratch.save(dealt.mapInArrow(_compare_blocks, "a long, b long"), "large", few=True)
 
 
-def linked_classes(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``members(key, rep, n)`` of the buckets to ``(node, label)`` of all that link.
+def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members(key, rep, n)`` of the buckets and ``bits(rep, ...)`` to ``(node, label)`` of all that link.
 
     Popular members (those with many companions over all their buckets) come
     first, as they are the likeliest to be what others are copies of.
     """
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
-    popular = scratch.save(sized.groupBy("rep").agg(F.sum("size").alias("pop"), F.max("n").alias("n")), "popular", few=True)
+    popular = sized.groupBy("rep").agg(F.sum("size").alias("pop"), F.max("n").alias("n")).join(bits, "rep")
+    popular = scratch.save(popular.dropDuplicates(["rep"]), "popular", few=True)
     ranked = members.select("key", "rep").join(popular, "rep")
     top = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("t")).select("key", (-F.col("t.r")).alias("center"))
     votes = members.join(top, "key").where("rep <> center").groupBy("rep", "center").count()
@@ -206,8 +223,8 @@ def linked_classes(members: DataFrame, docs: DataFrame, scratch: Scratch) -> Dat
 
     def state_of(labels: DataFrame) -> DataFrame:
         sizes = labels.groupBy("label").agg(F.count("*").alias("lsize"))
-        state = popular.join(labels, popular.rep == labels.node, "left").select("rep", "pop", "n", F.coalesce("label", "rep").alias("label"))
-        return state.join(sizes, "label", "left").select("rep", "pop", "n", "label", F.coalesce("lsize", F.lit(1)).alias("lsize"))
+        state = popular.join(labels, popular.rep == labels.node, "left").select("rep", "pop", "n", *BITS, F.coalesce("label", "rep").alias("label"))
+        return state.join(sizes, "label", "left").select("rep", "pop", "n", *BITS, "label", F.coalesce("lsize", F.lit(1)).alias("lsize"))
 
     # after this no class links with a component that was large, unless it has joined it
     state = scratch.save(state_of(labels), "state", few=True)
@@ -227,10 +244,11 @@ def linked_classes(members: DataFrame, docs: DataFrame, scratch: Scratch) -> Dat
             return labels
         order = Window.partitionBy("key").orderBy(F.desc("lsize"), F.desc("pop"), "rep")
         first = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        first = scratch.save(first.select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp")), "pivots", few=True)
+        first = scratch.save(first.select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), *[F.col(b).alias(f"p{b}") for b in BITS]), "pivots", few=True)
+        different = " + ".join(f"bit_count({b} ^ p{b})" for b in BITS)
         found = (
             named.join(first, "key")
-            .where("label <> lp")
+            .where(f"label <> lp and {different} <= {MAX_DIFFERENT}")
             .where(f"{THRESHOLD[1]} * least(n, np) >= {THRESHOLD[0]} * greatest(n, np)")
             .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
             .distinct()
@@ -273,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keyed.select(F.explode("bands").alias("key"), F.col("id").alias("rep"), "n")
     buckets = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     members = scratch.save(rows.join(buckets, "key", "left_semi").distinct(), "members")
-    labels = linked_classes(members, docs, scratch)
+    labels = linked_classes(members, signed.select(F.col("id").alias("rep"), *BITS), docs, scratch)
 
     named = classes.join(labels, classes.rep == labels.node, "left").select("f1", "f2", F.coalesce("label", "rep").alias("label"))
     named = scratch.save(named, "labels")
