@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import fits_broadcast, id_remainder
 
 #: Labelled documents of each class that training draws, in expectation.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 4500
@@ -135,6 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     u = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = spark_labels.where(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if fits_broadcast(drawn, 2 * (SAMPLE_TOXIC + SAMPLE_ORDINARY)):
+        drawn = F.broadcast(drawn)
     rows = [tuple(r) for r in texts.join(drawn, "id").select("id", "text", "toxic").toLocalIterator()]
     return fit(rows, {k: 1 / v for k, v in share.items()})
 
