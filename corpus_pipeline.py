@@ -48,12 +48,40 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+#: Folders that the stages before the last have left, by place.
+_left: dict[int, list[Scratch]] = {}
+
+
+def tidy(k: int, stage):
+    """The stage, first deleting what the one before it left, unless its input still rests on that.
+
+    A stage's result is written before the next one starts, so its working
+    tables have served; without this they would add up over the stages.
+    """
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if left := _left.pop(k - 1, []):
+            used = docs.inputFiles()
+            for s in left:
+                if not any(s.root.split(":")[-1].lstrip("/") in f for f in used):
+                    s.remove()
+        before = len(Scratch.made)
+        out = stage(spark, docs, sf_dir)
+        _left[k] = Scratch.made[before:]
+        return out
+
+    run_stage.__doc__ = stage.__doc__
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_stage),
-    ("near duplicates", near_duplicate_stage),
-    ("repeated strings", repeated_string_stage),
-    ("decontamination", decontamination_stage),
-    ("packing", packing_stage),
+    (name, tidy(k, stage))
+    for k, (name, stage) in enumerate([
+        ("quality rules", quality_stage),
+        ("near duplicates", near_duplicate_stage),
+        ("repeated strings", repeated_string_stage),
+        ("decontamination", decontamination_stage),
+        ("packing", packing_stage),
+    ])
 ]
 
 #: The near-duplicate, token and checksum stages have no SQL; tests hold them against brute force.

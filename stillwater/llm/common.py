@@ -38,10 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive lost executors."""
 
+    #: All folders made and not removed in this process, oldest first.
+    made: list["Scratch"] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        Scratch.made.append(self)
+
+    def remove(self) -> None:
+        """Delete the whole folder; no result that is still to be read may rest on it."""
+        remove_path(self.spark, self.root)
+        Scratch.made.remove(self)
 
     def path(self, name: str) -> str:
         self.n += 1

@@ -232,7 +232,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spans = found.select(
         "uid", F.transform("ranges", lambda r: F.struct((F.col("first") + r["lo"]).alias("lo"), (F.col("first") + r["hi"] + (LENGTH - 1)).alias("hi"))).alias("s")
     )
-    return scratch.save(spans.groupBy("uid").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+    out = scratch.save(spans.groupBy("uid").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+    scratch.drop(rows, strings, settled, large)
+    return out
 
 
 def _with_removed(docs: DataFrame, keep: list, text_col: str, id_col: str, keep_text: bool, schema: str) -> DataFrame:
