@@ -145,3 +145,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), '{u}', '{l}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')".format(u=_UPPER, l=_LOWER)
+
+ORACLE_SQL = f"""
+with d as (select doc_id, {_WORDS} as ws from documents), b as (select item_id, {_WORDS} as ws from benchmark),
+pat as (select distinct item_id, least(len(ws), {WINDOW}) as n, array_to_string(ws[i:i + least(len(ws), {WINDOW}) - 1], ' ') as p
+    from (select item_id, ws, unnest(range(1, greatest(len(ws) - {WINDOW} + 1, 1) + 1)) as i from b where len(ws) > 0)),
+sizes as (select distinct n from pat),
+win as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as p from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, sizes where len(ws) >= n)),
+hit as (select w.doc_id, w.n, w.i, pat.item_id from win w join pat on pat.n = w.n and pat.p = w.p),
+words as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hit) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as names from (select distinct doc_id, item_id from hit) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""

@@ -302,3 +302,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
     )
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The same by brute force, for small tables: all pairs that share a shingle.
+ORACLE_SQL = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as x from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+e as (select a, b from (select p.doc_id as a, q.doc_id as b, count(*) as c from s p join s q on p.x = q.x and p.doc_id <> q.doc_id group by 1, 2)
+    join n u on u.doc_id = a join n v on v.doc_id = b where 100 * c >= 75 * (u.n + v.n - c)),
+reach as (select doc_id as a, doc_id as b from d union select r.a, e.b from reach r join e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, m.c = d.doc_id as kept
+from d left join n using (doc_id) join (select a, min(b) as c from reach group by a) m on m.a = d.doc_id
+"""
