@@ -474,3 +474,39 @@ def test_pipeline_stages_keep_columns(spark, odd, sf):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, sf).collect()
         stage(spark, odd.limit(0), sf).collect()
+
+
+def cut_text(texts, size=400):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + size] for t in raw for i in range(len(t) - size + 1))
+    out = []
+    for t in raw:
+        mask = bytearray(len(t))
+        for p in range(len(t) - size + 1):
+            if seen[t[p : p + size]] > 1:
+                mask[p : p + size] = b"\1" * size
+        out.append(bytes(b for b, m in zip(t, mask) if not m).decode("utf-8", "ignore"))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    good = {r[0] for r in c.execute(f"select doc_id from ({quality.ORACLE_SQL}) where kept").fetchall()}
+    rows = [r for r in c.execute("select doc_id, text from documents").fetchall() if r[0] in good]
+    low = {i: label for _, i, _, label in components(rows)}
+    rows = sorted(r for r in rows if low[r[0]] == r[0])
+    rows = list(zip([r[0] for r in rows], cut_text([r[1] for r in rows])))
+    bench = c.execute(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
+    bad = {h[1] for h in hits(rows, bench) if h[-1]}
+    rows = [r for r in rows if r[0] not in bad]
+    assert 0 < len(rows) < len(good)
+    ids = {i: x + [2] for (i, _), x in zip(rows, library_ids("word_bpe_49k.json", [r[1] for r in rows]))}
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    total = Counter()
+    for p in pieces:
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == crc(ids[p.doc_id][p.start : p.start + p.length])
+        total[p.doc_id] += p.length
+    assert total == {i: len(x) for i, x in ids.items()}
