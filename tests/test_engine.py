@@ -275,3 +275,16 @@ def test_hex_dump_and_descriptor_fallback(spark):
 def test_long_names_are_cut_and_trimmed(spark):
     got = spark.range(1).select(X.resource_name(F.lit("a" * 252), F.lit("--b")).alias("n")).first().n
     assert len(got) <= 253 and not got.endswith("-")
+
+
+def test_snapshot_data_source_reads_pairs_and_refuses_incomplete(spark, tmp_path):
+    from stillwater.sources import datasource
+
+    datasource.register(spark)
+    root = f"file://{tmp_path}/s"
+    snapshot.write(readers.pairs(spark, [(b"a", b"1"), (b"b", b"")]), root, n=2)
+    got = spark.read.format("kv_snapshot").load(root).collect()
+    assert {(bytes(r.key), bytes(r.value)) for r in got} == {(b"a", b"1"), (b"b", b"")}
+    os.remove(f"{tmp_path}/s/meta.json")
+    with pytest.raises(Exception):
+        spark.read.format("kv_snapshot").load(root).collect()
