@@ -59,12 +59,12 @@ class Scratch:
     def save(self, df: DataFrame, name: str, compression: str = "zstd", few: bool = False) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back.
 
-        ``few``: in no more files than the cluster has cores, for tables of a few
-        bytes per document.
+        ``few``: in fewer files than shuffle partitions, for tables of a few bytes
+        per document.
         """
         at = self.path(name)
         if few:
-            df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         df.write.option("compression", compression).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out.scratch_path = at
