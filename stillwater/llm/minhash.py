@@ -14,7 +14,8 @@ Links are found without listing the pairs of a bucket:
 2. in a first round each class is compared with one class, the one that most
    often is the most popular in its buckets;
 3. classes that share a bucket with a large component are compared with all its
-   members, by blocks;
+   members, by blocks, and so are the many classes around one popular class with
+   each other;
 4. in later rounds a bucket whose members already share a component is done; in
    the others the first remaining members, by size of component and popularity
    (4, then 16, 64, ...), are compared with the members of other components,
@@ -141,39 +142,71 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean, far boolean")
 
 
-def _compare_blocks(batches):
-    """Rows sorted by block, the component's members before the others; a link of each other row that has one."""
-    block, index, a, b = None, None, [], []
-    for batch in batches:
-        data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
-        for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
-            where, other, node = row[:3], row[3], row[4]
-            shingles = shingle_sets(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[0]
-            if where != block:
-                block, held, index = where, [], None
-            if not other:
-                held.append((node, shingles))
-                continue
-            if not held:
-                continue
-            if index is None:
-                flat = np.concatenate([s for _, s in held])
-                owner = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
-                order = np.argsort(flat, kind="stable")
-                index = flat[order], owner[order], np.array([len(s) for _, s in held])
-            lo, hi = np.searchsorted(index[0], shingles, "left"), np.searchsorted(index[0], shingles, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            common = np.bincount(index[1][at], minlength=len(held))
-            hit = np.flatnonzero((common > 0) & (THRESHOLD[1] * common >= THRESHOLD[0] * (len(shingles) + index[2] - common)))
-            if len(hit):
-                a.append(node)
-                b.append(held[hit[0]][0])
-        if len(a) >= 4096:
+def _compare_blocks(every: bool):
+    """Rows sorted by block, its own members before the others: links between the two.
+
+    One link of each other row that has one, or (``every``) as many as it takes
+    to join all that are linked in the block.
+    """
+    def run(batches):
+        block, held, index, root, a, b = None, [], None, {}, [], []
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                where, other, node = row[:3], row[3], row[4]
+                shingles = shingle_sets(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[0]
+                if where != block:
+                    block, held, index, root = where, [], None, {}
+                if not other:
+                    held.append((node, shingles))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    flat = np.concatenate([s for _, s in held])
+                    owner = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], owner[order], np.array([len(s) for _, s in held])
+                lo, hi = np.searchsorted(index[0], shingles, "left"), np.searchsorted(index[0], shingles, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                common = np.bincount(index[1][at], minlength=len(held))
+                hit = np.flatnonzero((common > 0) & (THRESHOLD[1] * common >= THRESHOLD[0] * (len(shingles) + index[2] - common)))
+                for h in hit if every else hit[:1]:
+                    x = held[h][0]
+                    if x != node and (not every or top(x) != top(node)):
+                        root[top(x)] = top(node)
+                        a.append(node)
+                        b.append(x)
+            if len(a) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def compared(asks: DataFrame, groups: DataFrame, docs: DataFrame, every: bool) -> DataFrame:
+    """Links of ``asks(rep, big)`` with the members ``groups(rep, big)`` of the same group, by blocks."""
+    plan = asks.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows")).join(
+        groups.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")), "big"
+    )
+    part = F.xxhash64("rep")
+    others = asks.select("rep", "big").join(plan, "big").select(
+        "big", F.pmod(part, F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(True).alias("other"), F.col("rep").alias("id")
+    )
+    own = groups.select("rep", "big").join(plan, "big").select(
+        "big", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(part, F.col("columns")).cast("int").alias("j"), F.lit(False).alias("other"), F.col("rep").alias("id")
+    )
+    rows = others.unionByName(own).join(docs, "id").select("big", "i", "j", "other", "id", "text")
+    return rows.repartition("big", "i", "j").sortWithinPartitions("big", "i", "j", "other").mapInArrow(_compare_blocks(every), "a long, b long")
 
 
 def links_to_large(members: DataFrame, state: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -189,17 +222,8 @@ def links_to_large(members: DataFrame, state: DataFrame, docs: DataFrame, scratc
     asks = scratch.save(asks, "asks", few=True)
     if asks.isEmpty():
         return None
-    plan = asks.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"), F.ceil(F.max("bsize") / BLOCK).cast("int").alias("columns"))
-    part = F.xxhash64("rep")
-    others = asks.select("rep", "big").join(plan, "big").select(
-        "big", F.pmod(part, F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(True).alias("other"), F.col("rep").alias("id")
-    )
-    own = state.select("rep", F.col("label").alias("big")).join(plan, "big").select(
-        "big", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(part, F.col("columns")).cast("int").alias("j"), F.lit(False).alias("other"), F.col("rep").alias("id")
-    )
-    rows = others.unionByName(own).join(docs, "id").select("big", "i", "j", "other", "id", "text")
-    dealt = rows.repartition("big", "i", "j").sortWithinPartitions("big", "i", "j", "other")
-    return scratch.save(dealt.mapInArrow(_compare_blocks, "a long, b long"), "large", few=True)
+    groups = state.join(asks.select(F.col("big").alias("label")).distinct(), "label").select("rep", F.col("label").alias("big"))
+    return scratch.save(compared(asks, groups, docs, False), "large", few=True)
 
 
 def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -235,20 +259,30 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
         links = scratch.save(links.unionByName(more), "links", few=True)
         labels = connected_components(links, scratch)
 
+    # classes around one popular class, whether they link with it or not, are compared with each other by blocks too
+    around = pairs.select("rep", F.col("hub").alias("big")).unionByName(pairs.select(F.col("hub").alias("rep"), F.col("hub").alias("big"))).distinct()
+    around = around.join(settled, "rep", "left_anti")
+    full = around.groupBy("big").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE).select("big")
+    around = scratch.save(around.join(full, "big", "left_semi"), "around", few=True)
+    if not around.isEmpty():
+        links = scratch.save(links.unionByName(compared(around, around, docs, True)), "links", few=True)
+        labels = connected_components(links, scratch)
+    own = around.groupBy("rep").agg(F.collect_set("big").alias("groups"))
+
     active, pivots = members.select("key", "rep"), FIRST_PIVOTS
     while True:
-        named = active.join(state_of(labels), "rep").join(settled, "rep", "left_anti")
+        named = active.join(state_of(labels), "rep").join(settled, "rep", "left_anti").join(own, "rep", "left")
         open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         named = scratch.save(named.join(open_, "key", "left_semi"), "open", few=True)
         if named.isEmpty():
             return labels
         order = Window.partitionBy("key").orderBy(F.desc("lsize"), F.desc("pop"), "rep")
         first = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        first = scratch.save(first.select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), *[F.col(b).alias(f"p{b}") for b in BITS]), "pivots", few=True)
+        first = scratch.save(first.select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), F.col("groups").alias("pgroups"), *[F.col(b).alias(f"p{b}") for b in BITS]), "pivots", few=True)
         different = " + ".join(f"bit_count({b} ^ p{b})" for b in BITS)
         found = (
             named.join(first, "key")
-            .where(f"label <> lp and {different} <= {MAX_DIFFERENT}")
+            .where(f"label <> lp and {different} <= {MAX_DIFFERENT} and not coalesce(arrays_overlap(groups, pgroups), false)")
             .where(f"{THRESHOLD[1]} * least(n, np) >= {THRESHOLD[0]} * greatest(n, np)")
             .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
             .distinct()
