@@ -18,7 +18,8 @@ Data flow, with nothing but one number per shard on the driver:
    counts and tables to the word's owner (*words*), which replies with the sums;
 3. shards sample seatings, words sample the parent's; this exchange is done once
    before and once after sampling;
-4. shards score the pairs and return a partial sum per document of each chunk.
+4. shards answer each chunk with the probabilities of its pairs, and the chunk's
+   task adds them up by document.
 
 Files lie in the shared folder under names unique to the task attempt, and only
 files named by Spark's committed manifests are read.  Words are 64-bit hashes.
@@ -310,11 +311,12 @@ def _sampler(chunks: list[str], replies: list[str], folder: str, shards: int, m:
 # ------------------------------------------------------------------ 4: scores
 
 
-def _scorer(chunks: list[tuple[str, int]], states: list[str], counts: list[str], replies: list[str], m: dict):
+def _scorer(chunks: list[str], states: list[str], counts: list[str], replies: list[str], m: dict):
+    """Answer every chunk: log10 probability of each of its pairs, and the count of each of its words."""
     def run(batches):
         for batch in batches:
             for r in batch.column(0).to_pylist():
-                s = Shard([p for p, _ in chunks], r)
+                s = Shard(chunks, r)
                 c_word = received(counts, r)[0].astype(np.float64)
                 t_u, n_v, t_v = (x.astype(np.float64) for x in received(replies, r))
                 t = (s.c > 0).astype(np.float64)
@@ -322,41 +324,44 @@ def _scorer(chunks: list[tuple[str, int]], states: list[str], counts: list[str],
                 base = parent(n_v, t_v, m["n"], m["t"], m["V"], m["d1"])
                 room = STRENGTH + c_word[s.u]
                 p = np.maximum(s.c - m["d"] * t, 0) / room + (STRENGTH + m["d"] * t_u[s.u]) / room * base[s.v]
-                score, plain = np.log10(p), np.log10((c_word[s.v] + 1) / (m["N"] + m["V"] + 1))
-                known = (c_word[s.v] > 0).astype(np.float64)
-                for k, (_, n_docs) in enumerate(chunks):
-                    pair = np.repeat(s.pair[s.cuts[k] : s.cuts[k + 1]], s.sizes[k])
-                    blob = np.stack([np.bincount(s.docs[k], x[pair], n_docs) for x in (score, plain, known)])
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([r], pa.int64()), pa.array([blob.tobytes()], pa.binary())], ["chunk", "shard", "sums"])
+                score, of_pair = np.log10(p).astype(np.float32), c_word[s.v].astype(np.uint64)
+                for k in range(len(chunks)):
+                    pair = s.pair[s.cuts[k] : s.cuts[k + 1]]
+                    answer = pack(score[pair], of_pair[pair])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([r], pa.int64()), pa.array([answer], pa.binary())], ["chunk", "shard", "answer"])
 
     return run
 
 
-def _finisher(chunks: list[tuple[str, int]], shards: int, m: dict):
-    def rows(k, total):
-        ids, null, held, n = read_segment(chunks[k][0], shards)
-        size = len(ids)
+def _finisher(chunks: list[str], shards: int, m: dict):
+    """Add up each chunk's answers by document; rows sorted by chunk, and the chunk's own file read again."""
+    def rows(table, total):
+        ids, null, held, n = table
+        score, base, known = total
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n.astype(np.int64)), pa.array(np.rint(total[2]).astype(np.int64)),
-                pa.array(np.full(size, int(m["N"]), np.int64)), pa.array(total[1]), pa.array(total[0]), pa.array(10 ** (-total[0] / n)),
+                pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n.astype(np.int64)), pa.array(np.rint(known).astype(np.int64)),
+                pa.array(np.full(len(ids), int(m["N"]), np.int64)), pa.array(base), pa.array(score), pa.array(10 ** (-score / n)),
             ],
             ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
         )
 
     def run(batches):
-        at, total = None, None
+        at, table, total = None, None, None
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                sums = np.frombuffer(blob, np.float64).reshape(3, -1)
-                if k == at:
-                    total = total + sums
-                    continue
-                if at is not None:
-                    yield rows(at, total)
-                at, total = k, sums
+            for k, r, answer in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if k != at:
+                    if at is not None:
+                        yield rows(table, total)
+                    at, table = k, read_segment(chunks[k], shards)
+                    total = np.zeros((3, len(table[0])))
+                *_, per, _, doc = read_segment(chunks[k], r)
+                p, c = unpack(answer)
+                pair = np.repeat(np.arange(len(per)), per)
+                for j, x in enumerate((p, np.log10((c + 1.0) / (m["N"] + m["V"] + 1)), c > 0)):
+                    total[j] += np.bincount(doc, x[pair], len(table[0]))
         if at is not None:
-            yield rows(at, total)
+            yield rows(table, (total[0], total[1], total[2]))
 
     return run
 
@@ -406,10 +411,10 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     second = parts(_word_owner([p.path.split("|")[0] for p in drawn], scratch.path("replies"), seed + 1), "owned")
     m |= {"n": sum(p.c for p in second), "t": sum(p.d for p in second)}
     states, replies = [p.path.split("|")[1] for p in drawn], [p.path for p in second]
-    partial = spark.range(0, shards, 1, shards).mapInArrow(_scorer(chunks, states, counts, replies, m), "chunk long, shard long, sums binary")
-    n = min(len(chunks), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = partial.repartition(n, "chunk").sortWithinPartitions("chunk", "shard")
-    return dealt.mapInArrow(_finisher(chunks, shards, m), _OUT).withColumnRenamed("id", id_col)
+    answers = spark.range(0, shards, 1, shards).mapInArrow(_scorer(paths, states, counts, replies, m), "chunk long, shard long, answer binary")
+    n = min(len(paths), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = answers.repartition(n, "chunk").sortWithinPartitions("chunk", "shard")
+    return dealt.mapInArrow(_finisher(paths, shards, m), _OUT).withColumnRenamed("id", id_col)
 
 
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
