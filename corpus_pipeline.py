@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stillwater.llm import queries
 from stillwater.llm.common import Scratch
-from stillwater.llm.decontaminate import contamination
+from stillwater.llm.decontaminate import without_contaminated
 from stillwater.llm.minhash import near_duplicates
 from stillwater.llm.packing import pack_documents
 from stillwater.llm.quality import quality_filter
@@ -40,8 +40,7 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

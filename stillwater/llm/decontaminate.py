@@ -22,6 +22,9 @@ WINDOW = 13
 #: Bytes of normalised item text that one automaton takes; more items are scanned in blocks.
 AUTOMATON_BYTES = 32 << 20
 
+#: Text that is held while several automata pass over it.
+GROUP_BYTES = 32 << 20
+
 #: Word bytes: digits, letters (lower-cased) and everything beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -64,31 +67,71 @@ def scan(automaton: ahocorasick.Automaton, words: bytes, n_words: int) -> tuple[
     return hit, found
 
 
+def _scan_group(automata, group):
+    """Each block of ``group`` with its word bounds, and per text the words covered and items found by any automaton."""
+    out = []
+    for batch, a, b, data, offsets in group:
+        starts, ends, per = word_bounds(data, offsets, WORD)
+        raw, n_words = data.tobytes().translate(FOLD), np.diff(per)
+        words = [b" " + b" ".join(raw[offsets[k] : offsets[k + 1]].split()) + b" " for k in range(b - a)]
+        out.append((batch, a, b, offsets, starts, ends, per, words, [np.zeros(n, bool) for n in n_words], [set() for _ in n_words]))
+    for automaton in automata:
+        for *_, words, masks, found in out:
+            for k, mask in enumerate(masks):
+                hit, items = scan(automaton, words[k], len(mask))
+                mask |= hit
+                found[k] |= items
+        del automaton  # before the next one is built
+    for batch, a, b, offsets, starts, ends, per, _, masks, found in out:
+        yield batch, a, b, offsets, starts, ends, per, masks, found
+
+
+def _scanned(packed, batches):
+    """``_scan_group`` over all texts; one automaton is in memory at a time.
+
+    A single automaton is kept for the whole task, several are built anew for
+    each ``GROUP_BYTES`` of text.
+    """
+    kept = [build_automaton(pickle.loads(packed[0].value))] if len(packed) == 1 else None
+    group, size = [], 0
+    for block in text_blocks(batches):
+        group.append(block)
+        size += len(block[3])
+        if kept or size >= GROUP_BYTES:
+            yield from _scan_group(kept or (build_automaton(pickle.loads(p.value)) for p in packed), group)
+            group, size = [], 0
+    if group:
+        yield from _scan_group((build_automaton(pickle.loads(p.value)) for p in packed), group)
+
+
 def _scanner(packed):
     def run(batches):
-        automaton = build_automaton(pickle.loads(packed.value))
-        for batch, a, b, data, offsets in text_blocks(batches):
-            starts, ends, per = word_bounds(data, offsets, WORD)
-            raw = data.tobytes().translate(FOLD)
-            n_words, spans, items = np.diff(per), [], []
-            for k in range(b - a):
-                words = b" " + b" ".join(raw[offsets[k] : offsets[k + 1]].split()) + b" "
-                hit, found = scan(automaton, words, int(n_words[k]))
+        for batch, a, b, offsets, starts, ends, per, masks, found in _scanned(packed, batches):
+            spans = []
+            for k, hit in enumerate(masks):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 base = per[k]
                 spans.append([
                     {"first_word": int(x), "n": int(y - x), "start": int(starts[base + x] - offsets[k]), "end": int(ends[base + y - 1] - offsets[k])}
                     for x, y in zip(edge[::2], edge[1::2])
                 ])
-                items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(n_words.astype(np.int64)), pa.array(items, pa.list_(pa.int64())), pa.array(spans, SPANS)],
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(per).astype(np.int64)), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array(spans, SPANS)],
                 ["id", "n_words", "items", "spans"],
             )
 
     return run
 
 
+def _cleaner(packed):
+    def run(batches):
+        for batch, a, b, *_, masks, _ in _scanned(packed, batches):
+            n_hit = [int(m.sum()) for m in masks]
+            yield batch.slice(a, b - a).filter(pa.array([not (n and 20 * n >= len(m)) for n, m in zip(n_hit, masks)], pa.bool_()))
+
+    return run
+
+
 SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("n", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 _SCHEMA = "id long, n_words long, items array<long>, spans array<struct<first_word:long,n:long,start:long,end:long>>"
 
@@ -106,42 +149,41 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
     yield rows
 
 
+def _packed(benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
+    spark = benchmark.sparkSession
+    return [spark.sparkContext.broadcast(pickle.dumps(rows)) for rows in _item_blocks(benchmark, item_col, item_text_col)]
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id, n_words, items, spans`` per document: items found and hit runs of words.
+    """``id, n_words, items, spans`` for every row: items found and hit runs of words.
 
     Spans give word and byte offsets in the original UTF-8 text.  One automaton
     is broadcast if the patterns fit ``AUTOMATON_BYTES``; a larger benchmark is
-    cut into blocks, each scanned on its own, and the blocks' results are united
-    per document.  Null and empty texts have no words; an item without words is
-    never found; repeated items share a pattern.  A document id must be unique
-    where more than one block is needed.
+    cut into blocks, which are united text by text, so rows with a null or
+    repeated id stay apart.  Null and empty texts have no words; an item without
+    words is never found; repeated items share a pattern.  No shuffle.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = []
-    for rows in _item_blocks(benchmark, item_col, item_text_col):
-        packed = spark.sparkContext.broadcast(pickle.dumps(rows))
-        parts.append(docs.mapInArrow(_scanner(packed), _SCHEMA))
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
-    )
+    return docs.mapInArrow(_scanner(_packed(benchmark, item_col, item_text_col)), _SCHEMA)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns and the text in ``text``, that ``contamination`` does not call contaminated.
+
+    Decided by row: null and repeated ids play no part.  No shuffle.
+    """
+    return docs.mapInArrow(_cleaner(_packed(benchmark, item_col, item_text_col)), docs.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: words, hit words, items, and whether 5 % or more of the words are hit."""
+    """Per row: words, hit words, items, and whether 5 % or more of the words are hit."""
     hits = benchmark_hits(docs, benchmark, id_col, text_col, item_col, item_text_col)
-    # words counted once, although the spans of different automaton blocks may overlap
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first_word"], s["first_word"] + s["n"] - 1)))))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["n"])
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return hits.select(
         F.col("id").alias(id_col),
         "n_words",
-        covered.cast("long").alias("n_hit"),
+        covered.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

@@ -212,6 +212,24 @@ def test_contamination_equals_brute_force(odd, empty, spark, cap, monkeypatch):
     assert decontaminate.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_blocks_of_items_keep_null_and_repeated_ids_apart(odd, spark, monkeypatch):
+    base, other = words_of(1, 300).split(), words_of(2, 200).split()
+    items = [(7, " ".join(base[10:40])), (8, "One"), (12, " ".join(other[5:60])), (6, "ab" * 600)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = odd.unionByName(spark.createDataFrame([(None, " ".join(other), None, None, 1, "y", 1), (4, "clean words only", None, None, 1, "z", 1)], DOCS))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for group in (32 << 20, 100):
+        monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 300)
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", group)
+        assert len(list(decontaminate._item_blocks(bench, "item_id", "text"))) > 1
+        got = decontaminate.contamination(docs, bench).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == hits(rows, items)
+        left = decontaminate.without_contaminated(docs, bench)
+        assert left.dtypes == docs.dtypes
+        want = [r for r in rows if not hits([r], items)[0][-1]]
+        assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
+
+
 def test_hit_spans_point_into_the_original(odd, spark):
     bench = spark.createDataFrame([(8, "ünï çÀ 123")], "item_id long, text string")
     text = next(r[1] for r in odd_rows() if r[1] and r[1].startswith("Ünï"))
