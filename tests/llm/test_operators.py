@@ -478,6 +478,35 @@ def test_license_lines_of_the_table_are_all_found(small):
     assert licenses.license_scan(small).select("doc_id").distinct().count() >= want.count()
 
 
+def test_license_texts_whole_edited_and_partial(spark):
+    named = licenses.all_templates()
+    long = {n: t for n, t in named if len(t.split()) > 90}  # the whole text where there are several
+    rng, docs, want = random.Random(3), [], []
+    for n, t in named:
+        want.append((len(docs), n, 1000, f"before\n{t}"))
+        docs.append(f"before\n{t}\nafter all that")
+    for n in ("MIT", "GPL-3.0", "Apache-2.0", "BSD-3-Clause", "ISC", "Unlicense"):
+        w = long[n].split()
+        edited = [y for x in w for y in ([], ["zzz", x], ["qqq"], *[[x]] * 37)[rng.randrange(40)]]
+        for part, least in ((edited, 880), (w[: len(w) * 4 // 5], 770), (w[: len(w) // 2] + ["inserted"] * 30 + w[len(w) // 2 :], 990)):
+            want.append((len(docs), n, least, None))
+            docs.append(" ".join(part))
+        half = " ".join(w[: len(w) // 2])  # below the least coverage: no row
+        docs.append(half)
+        want += [(len(docs), n, 1000, None)] * 2
+        docs.append(" ".join(w + ["and", "again"] + w))
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).orderBy("doc_id", "start_byte").collect()
+    halves = [k for k in range(len(docs)) if k not in {x[0] for x in want}]
+    assert len(halves) == 6 and not [r for r in got if r.doc_id in halves and r.license in ("MIT", "ISC", "Unlicense", "Apache-2.0", "GPL-3.0")]
+    got = [r for r in got if r.doc_id not in halves]
+    assert [(r.doc_id, r.license) for r in got] == [x[:2] for x in want]
+    for r, (k, n, least, whole) in zip(got, want):
+        assert r.coverage_permille >= least, (k, n)
+        if whole:
+            words = plain(docs[k].encode()[r.start_byte : r.end_byte].decode())
+            assert words == plain(whole)[1:]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
