@@ -1,18 +1,23 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-One dictionary is trained on ordinary text, one on toxic text: the strings that
-recur in toxic documents far more often than in ordinary ones, with the ordinary
-dictionary in front of them so that plain words cost the same under both.  A
-window is one word behind a lead-in that both dictionaries hold, so the block is
-always compressed and its length moves by whole bytes; the distance of a window
-is its compressed length under the ordinary dictionary less that under the toxic
-one.  A logistic calibration over a document's window distances gives the score.
-
-Equal windows are compressed once per worker, which is most of the speed.
+Two dictionaries are trained by zstandard: one on pieces of ordinary documents,
+one on what sets toxic documents apart.  Toxic documents are mostly ordinary
+text, and a trainer fed with all of it keeps common syllables; so its samples
+are the words of toxic documents that hold a byte string (``GRAM`` bytes, or the
+whole word) many times more frequent in toxic documents than in ordinary ones.
+The toxic side compresses with both dictionaries, the ordinary side with the
+first alone, so common text costs the same on either.
+
+A document is cut into windows of several words, at three widths.  Every window
+is compressed under both sides; the distance is the ordinary length less the
+toxic one.  Thresholds on the distances are calibrated by a logistic model over
+how many windows exceed each of them, each document
+measured with dictionaries trained without it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,27 +30,37 @@ from .common import fits_broadcast, id_remainder
 
 #: Labelled documents of each class that training draws, in expectation.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 4500
-#: A toxic string recurs in this share of the toxic sample (three documents at least), and is so many times more frequent there.
-LEAST_SHARE, LEAST_RATIO = 0.01, 50
-ORDINARY_WORDS = 8000
+#: Words of a window.
+WIDTHS = (3, 6, 12)
+#: Distances, in bytes, that the calibration counts windows beyond.
+THRESHOLDS = (2, 3, 4, 5, 6)
+#: Sizes of the dictionaries, and the trainer's segment and match lengths.
+ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 8 << 10
+ORDINARY_SEGMENT, TOXIC_SEGMENT = dict(k=64, d=8), dict(k=24, d=6)
+PIECE = 200
+#: A string sets toxic text apart that is in this share of the toxic sample (three documents at least), and so many times more frequent there.
+GRAM, LEAST_SHARE, LEAST_RATIO = 8, 0.01, 25
+#: Parts of the sample; the calibration of a part uses dictionaries of the others.
+FOLDS = 3
 LEVEL = 12
-#: Distances remembered by one worker.
-MEMO_WINDOWS = 300_000
+#: Leads every window and ends both dictionaries, so that a block is always compressed and lengths move byte by byte.
 LEAD = b"0123456789abcdefghijklmnopqrstuvwxyz!#ABCDEFGHIJKLMNOPQRSTUVWXYZ+-=_"
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def windows(text: str | None) -> list[str]:
-    return (text or "").translate(_LOWER).split()
+def words_of(text: str | None) -> list[bytes]:
+    """White-space words, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def windows(words: list[bytes], width: int) -> list[bytes]:
+    return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(0, len(words), width)]
 
 
 class CompressionDistance:
-    """Window distances under two raw-content dictionaries."""
+    """Window distances under the two sides' dictionaries."""
 
-    def __init__(self, ordinary: list[str], toxic: list[str]):
-        plain = " " + " ".join(reversed(ordinary)) + " "
-        other = " " + " ".join(reversed(toxic)) + " "
-        self.contents = (plain.encode() + LEAD, (plain + other).encode() + LEAD)
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.contents = (ordinary + LEAD, ordinary + toxic + LEAD)
         self._ready = None
 
     def __getstate__(self):
@@ -57,26 +72,25 @@ class CompressionDistance:
             for content in self.contents:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
-                made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self._ready = (*made, {})
+                made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            self._ready = made
         return self._ready
 
-    def distances(self, words: list[str]) -> np.ndarray:
-        ordinary, toxic, memo = self._compressors()
-        if len(memo) > MEMO_WINDOWS:
-            memo.clear()
-        for w in set(words).difference(memo):
-            b = LEAD + f" {w} ".encode("utf-8", "replace")
-            memo[w] = len(ordinary.compress(b)) - len(toxic.compress(b))
-        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+    def distances(self, words: list[bytes], width: int) -> np.ndarray:
+        ordinary, toxic = self._compressors()
+        return np.array([len(ordinary(LEAD + w)) - len(toxic(LEAD + w)) for w in windows(words, width)], np.int64)
 
     def features(self, text: str | None) -> np.ndarray:
-        words = windows(text)
-        if not words:
-            return np.zeros(5)
-        d = self.distances(words)
-        n, high, higher = len(d), int((d >= 3).sum()), int((d >= 5).sum())
-        return np.array([max(0, d.max()), np.log1p(high), np.log1p(higher), 10 * higher / n**0.5, 100 * high / n])
+        """By width: windows beyond each threshold (log and share), greatest and mean distance, log of the number of windows."""
+        words, out = words_of(text), []
+        for width in WIDTHS:
+            d = self.distances(words, width) if words else np.zeros(1, np.int64)
+            beyond = np.array([(d >= t).sum() for t in THRESHOLDS])
+            out += [*np.log1p(beyond), *(10 * beyond / len(d)), max(d.max(), 0), d.mean(), np.log(len(d))]
+        return np.array(out)
+
+
+N_FEATURES = len(WIDTHS) * (2 * len(THRESHOLDS) + 3)
 
 
 class ToxicityModel:
@@ -90,40 +104,76 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _contrast(toxic: list[str], ordinary: list[str]) -> tuple[list[str], list[str]]:
-    """Ordinary words by frequency, and toxic strings by frequency."""
-    bad, plain = Counter(), Counter()
-    for t in toxic:
-        bad.update(set(windows(t)))
-    for t in ordinary:
-        plain.update(set(windows(t)))
+def _grams(word: bytes) -> set[bytes]:
+    w = b" " + word + b" "
+    return {w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}
+
+
+def _document_counts(texts: list[list[bytes]], among: Counter | None = None) -> Counter:
+    """Number of texts with each string; ``among``: of these strings only."""
+    out: Counter = Counter()
+    for words in texts:
+        grams = set().union(*map(_grams, set(words))) if words else set()
+        out.update(grams if among is None else grams.intersection(among))
+    return out
+
+
+def _trained(size: int, samples: list[bytes], segment: dict) -> bytes:
+    """Content of a trained dictionary; with too little text to train on, the text itself."""
+    try:
+        return zstandard.train_dictionary(size, samples, **segment).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _distance(ordinary: list[list[bytes]], toxic: list[list[bytes]], plain: Counter, bad: Counter) -> CompressionDistance:
+    """Both dictionaries, from texts and the number of texts with each string."""
     least = max(3, LEAST_SHARE * len(toxic))
-    known = [w for w, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS]]
-    found = [w for w, c in bad.items() if c >= least and c * len(ordinary) >= LEAST_RATIO * plain[w] * len(toxic)]
-    return known, sorted(found, key=lambda w: (-bad[w], w))
-
-
-def fit(rows: list[tuple[int, str, int]], weight: dict[int, float]) -> ToxicityModel:
-    """Dictionaries from two thirds of the rows (id, text, toxic), calibration on the others."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
-    first, second = [r for k, r in enumerate(rows) if k % 3], rows[::3]
-    known, found = _contrast([r[1] for r in first if r[2]], [r[1] for r in first if not r[2]])
-    distance = CompressionDistance(known, found)
-    x = np.array([distance.features(r[1]) for r in second]).reshape(len(second), 5)
-    y = np.array([r[2] for r in second], float)
-    w = np.array([weight.get(r[2], 1.0) for r in second])
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(5), np.ones(5))
-    z = (x - mean) / scale
-    beta, rate = np.zeros(6), (w @ y) / max(w.sum(), 1e-9)
-    beta[5] = np.log((rate + 1e-3) / (1 - rate + 1e-3))
-    full = np.hstack([z, np.ones((len(z), 1))])
-    ridge = np.diag([1.0] * 5 + [1e-3])
+    found = {g for g, c in bad.items() if c >= least and c * len(ordinary) >= LEAST_RATIO * (plain[g] + 1) * len(toxic)}
+    kept = ([w for w in words if not found.isdisjoint(_grams(w))] for words in toxic)
+    texts = [b" ".join(words) for words in ordinary]
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    apart = [b" " + b" ".join(k) + b" " for k in kept if k]
+    return CompressionDistance(_trained(ORDINARY_BYTES, pieces, ORDINARY_SEGMENT), _trained(TOXIC_BYTES, apart, TOXIC_SEGMENT))
+
+
+def fit(rows: list[tuple[int, str, int]]) -> ToxicityModel:
+    """Dictionaries from all rows (id, text, toxic); the calibration sees each text under dictionaries trained without it.
+
+    Texts are dealt to ``FOLDS`` parts by their hash, so copies share a part and
+    train once.  In the calibration a class weighs as the square root of its
+    rows, between equal classes and the sample's shares.
+    """
+    texts = sorted({(r[1] or "", int(r[2])) for r in rows})
+    fold = [zlib.crc32(t.encode("utf-8", "replace")) % FOLDS for t, _ in texts]
+    part = {(k, f): [words_of(t) for (t, y), g in zip(texts, fold) if (y, g) == (k, f)] for k in (0, 1) for f in range(FOLDS)}
+    bad = [_document_counts(part[1, f]) for f in range(FOLDS)]
+    often = Counter({g: c for g, c in sum(bad, Counter()).items() if c >= 3})
+    bad = [Counter({g: c for g, c in x.items() if g in often}) for x in bad]
+    plain = [_document_counts(part[0, f], often) for f in range(FOLDS)]
+
+    def trained_on(folds: list[int]) -> CompressionDistance:
+        joined = ([w for f in folds for w in part[k, f]] for k in (0, 1))
+        return _distance(*joined, sum((plain[f] for f in folds), Counter()), sum((bad[f] for f in folds), Counter()))
+
+    x, y = np.zeros((len(texts), N_FEATURES)), np.array([t[1] for t in texts], float)
+    for f in range(FOLDS) if len(texts) else ():
+        distance = trained_on([g for g in range(FOLDS) if g != f])
+        for k in (k for k, g in enumerate(fold) if g == f):
+            x[k] = distance.features(texts[k][0])
+    per = {k: 30 / max(1.0, (y == k).sum()) ** 0.5 for k in (0, 1)}
+    w = np.where(y == 1, per[1], per[0])
+    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
+    beta, rate = np.zeros(N_FEATURES + 1), (w @ y) / max(w.sum(), 1e-9)
+    beta[-1] = np.log((rate + 1e-3) / (1 - rate + 1e-3))
+    full = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    ridge = np.diag([1.0] * N_FEATURES + [1e-3])
     for _ in range(25 if 0 < rate < 1 else 0):
         p = 1 / (1 + np.exp(-np.clip(full @ beta, -30, 30)))
         gradient = full.T @ (w * (p - y)) + ridge @ beta
         hessian = (full * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ full + ridge
         beta -= np.linalg.solve(hessian, gradient)
-    return ToxicityModel(distance, mean, scale, beta[:5], float(beta[5]))
+    return ToxicityModel(trained_on(list(range(FOLDS))), mean, scale, beta[:-1], float(beta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -138,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if fits_broadcast(drawn, 2 * (SAMPLE_TOXIC + SAMPLE_ORDINARY)):
         drawn = F.broadcast(drawn)
     rows = [tuple(r) for r in texts.join(drawn, "id").select("id", "text", "toxic").toLocalIterator()]
-    return fit(rows, {k: 1 / v for k, v in share.items()})
+    return fit(rows)
 
 
 def _scorer(model: ToxicityModel):
@@ -156,7 +206,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """``id_col, held_out, score, predicted`` per row, over all windows of the text.
 
     Null and empty texts have no window and get the calibration's score for
-    that; repeated rows get equal results; a null id passes through.
+    that; a text without spaces is one window; equal texts get equal scores,
+    so repeated rows and ties do; a null id passes through; other columns are
+    ignored, whatever their names.
     """
     out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
