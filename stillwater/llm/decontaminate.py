@@ -8,6 +8,7 @@ byte offsets of the original text.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 
 import ahocorasick
@@ -20,7 +21,8 @@ from .common import text_blocks, word_bounds
 
 WINDOW = 13
 #: Bytes of normalised item text that one automaton takes; more items are scanned in blocks.
-AUTOMATON_BYTES = 32 << 20
+#: A node of the automaton takes some 50 bytes, and a byte of a pattern is a node at most.
+AUTOMATON_BYTES = 8 << 20
 
 #: Text that is held while several automata pass over it.
 GROUP_BYTES = 32 << 20
@@ -40,14 +42,14 @@ def item_windows(text: str | None, window: int = WINDOW) -> list[bytes]:
 
 
 def build_automaton(items: list[tuple[int, str | None]]) -> ahocorasick.Automaton:
-    """Patterns carry (number of words, item ids); spaces fence the words."""
+    """Patterns carry (number of words, item ids); spaces fence the words.  An item without an id is a pattern without a name."""
     owners: dict[bytes, set] = {}
     for item, text in items:
         for w in item_windows(text):
             owners.setdefault(w, set()).add(item)
     automaton = ahocorasick.Automaton()
     for w, ids in owners.items():
-        automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(ids))))
+        automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(i for i in ids if i is not None))))
     if owners:
         automaton.make_automaton()
     return automaton
@@ -86,13 +88,26 @@ def _scan_group(automata, group):
         yield batch, a, b, offsets, starts, ends, per, masks, found
 
 
+#: The automaton of this worker process, by the digest of its items.
+_built: dict[bytes, ahocorasick.Automaton] = {}
+
+
+def worker_automaton(packed: bytes) -> ahocorasick.Automaton:
+    """The automaton of pickled items, kept from task to task."""
+    key = hashlib.sha256(packed).digest()
+    if key not in _built:
+        _built.clear()
+        _built[key] = build_automaton(pickle.loads(packed))
+    return _built[key]
+
+
 def _scanned(packed, batches):
     """``_scan_group`` over all texts; one automaton is in memory at a time.
 
-    A single automaton is kept for the whole task, several are built anew for
+    A single automaton is kept by the worker, several are built anew for
     each ``GROUP_BYTES`` of text.
     """
-    kept = [build_automaton(pickle.loads(packed[0].value))] if len(packed) == 1 else None
+    kept = [worker_automaton(packed[0].value)] if len(packed) == 1 else None
     group, size = [], 0
     for block in text_blocks(batches):
         group.append(block)
@@ -104,6 +119,14 @@ def _scanned(packed, batches):
         yield from _scan_group((build_automaton(pickle.loads(p.value)) for p in packed), group)
 
 
+def leaks(hit: np.ndarray, window: int = WINDOW) -> bool:
+    """Whether a full window of words in a row is hit, or 5 % of all words are."""
+    if 20 * int(hit.sum()) >= max(1, len(hit)):
+        return True
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    return bool(len(edge)) and int((edge[1::2] - edge[::2]).max()) >= window
+
+
 def _scanner(packed):
     def run(batches):
         for batch, a, b, offsets, starts, ends, per, masks, found in _scanned(packed, batches):
@@ -126,8 +149,7 @@ def _scanner(packed):
 def _cleaner(packed):
     def run(batches):
         for batch, a, b, *_, masks, _ in _scanned(packed, batches):
-            n_hit = [int(m.sum()) for m in masks]
-            yield batch.slice(a, b - a).filter(pa.array([not (n and 20 * n >= len(m)) for n, m in zip(n_hit, masks)], pa.bool_()))
+            yield batch.slice(a, b - a).filter(pa.array([not leaks(m) for m in masks], pa.bool_()))
 
     return run
 
@@ -161,16 +183,20 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     is broadcast if the patterns fit ``AUTOMATON_BYTES``; a larger benchmark is
     cut into blocks, which are united text by text, so rows with a null or
     repeated id stay apart.  Null and empty texts have no words; an item without
-    words is never found; repeated items share a pattern.  No shuffle.
+    words is never found; repeated items share a pattern; an item without an id
+    marks words but is neither counted nor named.  A very long text is scanned as
+    one.  Ties do not arise; other columns are ignored, whatever their names.
+    No shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_scanner(_packed(benchmark, item_col, item_text_col)), _SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns and the text in ``text``, that ``contamination`` does not call contaminated.
+    """The rows of ``docs``, all columns and the text in ``text``, that do not leak test items.
 
-    Decided by row: null and repeated ids play no part.  No shuffle.
+    A row leaks if 13 words in a row are hit, however long its text, or 5 % of its
+    words are (which short items alone may do).  Decided by row: null and repeated ids play no part.  No shuffle.
     """
     return docs.mapInArrow(_cleaner(_packed(benchmark, item_col, item_text_col)), docs.schema)
 
@@ -200,7 +226,7 @@ sizes as (select distinct n from pat),
 win as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as p from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, sizes where len(ws) >= n)),
 hit as (select w.doc_id, w.n, w.i, pat.item_id from win w join pat on pat.n = w.n and pat.p = w.p),
 words as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hit) group by doc_id),
-items as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as names from (select distinct doc_id, item_id from hit) group by doc_id)
+items as (select doc_id, count(item_id) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as names from (select distinct doc_id, item_id from hit) group by doc_id)
 select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
     coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
 from d left join words using (doc_id) left join items using (doc_id)
