@@ -37,7 +37,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    """The removal at 400 bytes, and bytes in passages of 200 that also start elsewhere."""
+    docs = table(spark, sf_dir, "documents")
+    return suffix_dedup.with_passages(suffix_dedup.remove_repeats(docs), docs)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
