@@ -37,21 +37,29 @@ MARKS = ",.;:!?"
 JOINED = 64
 
 
-def is_plain(text: str) -> bool:
-    """Whether a text has plain characters only and cannot hold a special token."""
+def is_plain(text: str, special: tuple[bytes, ...] = ()) -> bool:
+    """Whether a text has plain characters only and none of the (lower-cased) ``special`` strings."""
     raw = text.encode("utf-8", "replace")
-    return not raw.translate(None, PLAIN_BYTES) and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw and b"<|" not in raw
+    if raw.translate(None, PLAIN_BYTES) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
+        return False
+    return not special or not any(s in raw.lower() for s in special)
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian ids of ``width`` bytes each (2 if the vocabulary allows)."""
+    """Encodes texts to little-endian ids of ``width`` bytes each (2 if the vocabulary allows).
 
-    def __init__(self, path: str):
+    The strings of special tokens are those tokens, as the library has it by
+    default; with ``special_as_text`` they are ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as f:
+            self.special = tuple(t["content"].lower().encode() for t in json.load(f).get("added_tokens", []))
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.pattern, self.lower = self._cut(path)
         # a piece of its own between any two pieces of no white space, and found inside no other piece
@@ -173,7 +181,7 @@ class PieceEncoder:
             self.forget()
         split, whole, slow = [], [], []
         for k, t in enumerate(texts):
-            (whole if self.pattern is None or not is_plain(t) else slow if not self.lower and "  " in t else split).append(k)
+            (whole if self.pattern is None or not is_plain(t, self.special) else slow if not self.lower and "  " in t else split).append(k)
         if split:
             plain = pa.array([texts[k] for k in split], pa.large_string())
             if self.lower:

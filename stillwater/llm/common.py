@@ -7,6 +7,7 @@ few array operations per byte rather than Python work per word.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is made and
-    set, and removed when Python ends.
+    Where the setting is absent on a local master (tests, a laptop) a temporary
+    folder is made and set, and removed when Python ends; on a cluster that is an
+    error, as executors would not see each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="stillwater-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"

@@ -34,7 +34,7 @@ from .common import Scratch
 PART_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
 _FRAME, _HEAD, _INDEX = struct.Struct("<QI"), struct.Struct("<qI"), struct.Struct("<qQQ")
-MANIFEST = "first_id long, path string, index_path string, start_byte long, end_byte long, n_records long, n_ids long"
+MANIFEST = "first_id long, path string, index_path string, start_byte long, end_byte long, n_records long, n_ids long, ids_before long"
 
 
 def masked(data: bytes) -> int:
@@ -82,7 +82,7 @@ def _writer(folder: str, path: str, end_id: int):
         files, root = open_folder(folder)
         files.create_dir(root, recursive=True)
         out = index = None
-        at = start = n_records = n_ids = first = 0
+        at = start = n_records = n_ids = first = before = 0
         parts = []
         name = f"{folder}/{uuid.uuid4().hex}"
         for batch, a, b, encoded, enc in encoded_blocks(batches, path):
@@ -99,14 +99,14 @@ def _writer(folder: str, path: str, end_id: int):
                 index.write(index_entry(doc_id, at, len(data)))
                 at, n_records, n_ids = at + len(data), n_records + 1, n_ids + len(text_ids) // enc.width + 1
                 if at - start >= PART_BYTES:
-                    parts.append((first, f"{name}.rec", f"{name}.idx", start, at, n_records, n_ids))
-                    start, n_records, n_ids = at, 0, 0
+                    parts.append((first, f"{name}.rec", f"{name}.idx", start, at, n_records, n_ids, before))
+                    start, n_records, n_ids, before = at, 0, 0, before + n_ids
         if out is not None:
             out.close()
             index.close()
             if n_records:
-                parts.append((first, f"{name}.rec", f"{name}.idx", start, at, n_records, n_ids))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts)], ["first_id", "path", "index_path", "start_byte", "end_byte", "n_records", "n_ids"])
+                parts.append((first, f"{name}.rec", f"{name}.idx", start, at, n_records, n_ids, before))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts)], ["first_id", "path", "index_path", "start_byte", "end_byte", "n_records", "n_ids", "ids_before"])
 
     return run
 
@@ -143,15 +143,18 @@ def _reader(batches):
 def read_records(manifest: DataFrame) -> DataFrame:
     """``id, start, n_tokens, ids_crc32`` per record, read from the files with every checksum tested.
 
-    Reads only the manifest on the driver: one row per 8 MB of records.
+    The driver adds up one total per file, that is per shuffle partition of the
+    writer; where a part starts in its file the manifest says.
     """
     spark = manifest.sparkSession
-    parts, start, rows = manifest.orderBy("first_id", "path", "start_byte").toLocalIterator(), 0, []
-    for p in parts:
-        rows.append((p.path, p.start_byte, p.end_byte, start))
-        start += p.n_ids
-    table = spark.createDataFrame(rows, "path string, start_byte long, end_byte long, start long")
-    return table.repartition(max(1, min(len(rows), 10_000))).mapInArrow(_reader, "id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.groupBy("path").agg(F.min("first_id").alias("first_id"), F.sum("n_ids").alias("n_ids")).collect()
+    base, start = [], 0
+    for f in sorted(files, key=lambda f: (f.first_id, f.path)):
+        base.append((f.path, start))
+        start += f.n_ids
+    table = manifest.join(F.broadcast(spark.createDataFrame(base, "path string, base long")), "path")
+    table = table.select("path", "start_byte", "end_byte", (F.col("base") + F.col("ids_before")).alias("start"))
+    return table.repartition(F.col("path"), F.col("start_byte")).mapInArrow(_reader, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def shuffled_read(path: str, index_path: str, seed: int):
@@ -168,7 +171,11 @@ def shuffled_read(path: str, index_path: str, seed: int):
 
 
 def token_records(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the records to the shared folder and read them back: ``id_col, start, n_tokens, ids_crc32``."""
+    """Write the records to the shared folder and read them back: ``id_col, start, n_tokens, ids_crc32``.
+
+    Rows of one id (ties) follow each other in no stated order; other columns are
+    ignored, whatever their names; a very long text is one record.
+    """
     scratch = Scratch(docs.sparkSession, "records")
     manifest = scratch.save(write_records(docs, tokenizer, scratch.path("files"), end_id, id_col, text_col), "manifest")
     return read_records(manifest).withColumnRenamed("id", id_col)
