@@ -156,6 +156,27 @@ def test_removed_bytes_equal_brute_force(which, group, request, monkeypatch):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_shorter_passages_are_told(odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    got = suffix_dedup.with_passages(suffix_dedup.remove_repeats(odd), odd).collect()
+    most = {}
+    for unknown, i, _, n, *_ in removed(rows, 200):
+        most[unknown, i] = max(n, most.get((unknown, i), 0))
+    assert len(got) == len(rows)
+    assert all(r.n_shared == most[r.doc_id is None, r.doc_id or 0] and r.shared == (r.n_shared > 0) for r in got)
+
+
+def test_periodic_texts_make_few_rows(spark):
+    """A text of one repeated byte, of repeated pieces, and both inside other text."""
+    texts = ["a" * 5000, "abc" * 900 + words_of(8, 90), words_of(8, 90) + "xyzw" * 300, "é" * 700, "q" * 399]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((False, r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows)
+    raw = __import__("numpy").frombuffer(b"a" * 100_000, "uint8")
+    assert len(suffix_dedup.runs(raw, __import__("numpy").array([0, len(raw)]))[0]) == 1
+
+
 def test_a_text_longer_than_a_segment(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 3000)
     long = words_of(5, 4000)
@@ -193,18 +214,32 @@ def hits(docs, items, size=13):
                 if (p := tuple(w[k : k + n])) in patterns:
                     mask |= set(range(k, k + n))
                     found |= patterns[p]
+        found.discard(None)
         names = ",".join(sorted(map(str, found)))
         out.append((i is None, i or 0, len(w), len(mask), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(mask) and 20 * len(mask) >= len(w)))
     return sorted(out)
 
 
+def leaky(text, items, size=13):
+    """Thirteen hit words in a row, or 5 % of all words."""
+    patterns = {tuple(w[k : k + size]) for _, t in items for w in [plain(t)] if w for k in range(max(1, len(w) - size + 1))}
+    w = plain(text)
+    mask = [False] * len(w)
+    for n in {len(p) for p in patterns}:
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in patterns:
+                mask[k : k + n] = [True] * n
+    runs = [len(r) for r in "".join("x" if m else " " for m in mask).split()]
+    return any(mask) and (20 * sum(mask) >= len(w) or max(runs) >= size)
+
+
 @pytest.mark.parametrize("cap", [32 << 20, 300])
 def test_contamination_equals_brute_force(odd, empty, spark, cap, monkeypatch):
     monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", cap)
     base = words_of(1, 300).split()
-    items = [(7, " ".join(base[10:40])), (8, "One"), (30, "ONE, two-three"), (9, None), (10, "..."), (11, " ".join(base[10:40])), (5, "漢字"), (6, "ab" * 600)]
+    items = [(7, " ".join(base[10:40])), (8, "One"), (30, "ONE, two-three"), (9, None), (10, "..."), (11, " ".join(base[10:40])), (None, " ".join(base[20:50])), (None, "漢字"), (5, "漢字"), (6, "ab" * 600)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]) if cap < 1000 else odd
+    docs = odd
     got = decontaminate.contamination(docs, bench).collect()
     want = hits([(r.doc_id, r.text) for r in docs.collect()], items)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
@@ -226,7 +261,7 @@ def test_blocks_of_items_keep_null_and_repeated_ids_apart(odd, spark, monkeypatc
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == hits(rows, items)
         left = decontaminate.without_contaminated(docs, bench)
         assert left.dtypes == docs.dtypes
-        want = [r for r in rows if not hits([r], items)[0][-1]]
+        want = [r for r in rows if not leaky(r[1], items)]
         assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
 
 
@@ -280,7 +315,6 @@ def library_ids(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -409,6 +443,29 @@ def test_toxicity_separates_planted_words(spark, empty):
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in got.items())
     assert toxicity.toxicity(empty, marks).count() == 0
     assert toxicity.toxicity(docs, marks.limit(0)).count() == len(rows)
+    clash = docs.selectExpr("doc_id", "text", "1.5 as score", "true as held_out", "7 as toxic", "'x' as id")
+    assert {(r.doc_id, r.score) for r in toxicity.toxicity(clash, marks).collect()} == {(k, r.score) for k, r in got.items()}
+
+
+def test_toxicity_of_odd_rows(odd):
+    marks = odd.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    got = toxicity.toxicity(odd, marks).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    texts = {(r.doc_id, r.text) for r in odd.collect()}
+    scores = {r.doc_id: r.score for r in got}
+    assert scores[0] == scores[1] and scores[4] == scores[5] and len(texts) == len(got) - 1
+
+
+def test_toxicity_on_held_out_labels():
+    """Dictionaries trained on the labels of the middle table; its held-out rows."""
+    import duckdb
+
+    rows = duckdb.connect().execute("select doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id)").fetchall()
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    model = toxicity.fit([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5])
+    found = [(r[2], model.score(r[1]) >= 0.5) for r in held]
+    assert sum(p for y, p in found if y) >= 0.78 * sum(y for y, _ in found)
+    assert sum(not p for y, p in found if not y) >= 0.96 * sum(not y for y, _ in found)
 
 
 # ---------------------------------------------------------------- language model
@@ -523,7 +580,7 @@ def test_pipeline_stages_keep_columns(spark, odd, sf):
         stage(spark, odd.limit(0), sf).collect()
 
 
-def cut_text(texts, size=400):
+def cut_text(texts, size=200):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + size] for t in raw for i in range(len(t) - size + 1))
     out = []
@@ -547,7 +604,7 @@ def test_pipeline_equals_brute_force(spark, sf):
     rows = sorted(r for r in rows if low[r[0]] == r[0])
     rows = list(zip([r[0] for r in rows], cut_text([r[1] for r in rows])))
     bench = c.execute(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
-    bad = {h[1] for h in hits(rows, bench) if h[-1]}
+    bad = {i for i, t in rows if leaky(t, bench)}
     rows = [r for r in rows if r[0] not in bad]
     assert 0 < len(rows) < len(good)
     ids = {i: x + [2] for (i, _), x in zip(rows, library_ids("word_bpe_49k.json", [r[1] for r in rows]))}
@@ -557,3 +614,21 @@ def test_pipeline_equals_brute_force(spark, sf):
         assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == crc(ids[p.doc_id][p.start : p.start + p.length])
         total[p.doc_id] += p.length
     assert total == {i: len(x) for i, x in ids.items()}
+
+
+def test_special_strings_are_special_tokens(spark):
+    """By default as in the library; as text on request."""
+    from tokenizers import Tokenizer
+
+    from stillwater.llm.bpe import PieceEncoder
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    texts = ["a<|endoftext|>b", "plain words", "A <|ENDOFTEXT|> b", "<|endoftext|>"]
+    for as_text in (False, True):
+        library, own = Tokenizer.from_file(path), PieceEncoder(path, as_text)
+        library.encode_special_tokens = as_text
+        got = [list(__import__("numpy").frombuffer(b, own.dtype)) for b in own.encode(texts)]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    row = records.token_records(docs, path).first()
+    assert row.n_tokens == 4 and row.ids_crc32 == crc([64, 50256, 65, 0])
