@@ -5,10 +5,11 @@ alone.  All but the last return rows with the columns of ``documents``:
 
 * quality rules: rejected documents go;
 * near duplicates: of every group the document with the smallest id stays;
-* repeated strings: every 400-byte string that starts twice is cut from the
-  texts, and ``n_chars`` counted anew; no document goes;
-* decontamination: documents with benchmark windows over 5 % or more of their
-  words go;
+* repeated strings: every 200-byte string that starts twice is cut from the
+  texts (fifty words are seldom shorter), and ``n_chars`` counted anew; no
+  document goes;
+* decontamination: documents with 13 words in a row inside benchmark windows, or
+  with such windows over 5 % or more of their words, go;
 * packing: pieces of the documents in sequences of 4096 ids.
 """
 
