@@ -64,7 +64,8 @@ class Scratch:
         """Write ``df`` as Parquet and return the table read back.
 
         ``few``: in fewer files than shuffle partitions, for tables of a few bytes
-        per document.
+        per document; their last stage runs in so few tasks, so never where it
+        reads texts.
         """
         at = self.path(name)
         if few:

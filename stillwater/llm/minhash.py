@@ -223,7 +223,7 @@ def links_to_large(members: DataFrame, state: DataFrame, docs: DataFrame, scratc
     if asks.isEmpty():
         return None
     groups = state.join(asks.select(F.col("big").alias("label")).distinct(), "label").select("rep", F.col("label").alias("big"))
-    return scratch.save(compared(asks, groups, docs, False), "large", few=True)
+    return scratch.save(compared(asks, groups, docs, False), "large")
 
 
 def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -241,7 +241,7 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
     best = votes.groupBy("rep").agg(F.max(F.struct("count", (-F.col("center")).alias("c"))).alias("best"))
     pairs = best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub"), F.col("b").alias("rep"))
     pairs = scratch.save(pairs, "pairs", few=True)
-    tested = scratch.save(confirm(pairs.select("a", "b").distinct(), docs), "tested", few=True)
+    tested = scratch.save(confirm(pairs.select("a", "b").distinct(), docs), "tested")
     hubs = scratch.save(pairs.join(tested.where("linked"), ["a", "b"]).select("rep", "hub").distinct(), "hubs", few=True)
     labels = connected_components(tested.where("linked").select("a", "b"), scratch)
 
@@ -265,7 +265,7 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
     full = around.groupBy("big").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE).select("big")
     around = scratch.save(around.join(full, "big", "left_semi"), "around", few=True)
     if not around.isEmpty():
-        links = scratch.save(links.unionByName(compared(around, around, docs, True)), "links", few=True)
+        links = scratch.save(links.unionByName(compared(around, around, docs, True)), "links")
         labels = connected_components(links, scratch)
     own = around.groupBy("rep").agg(F.collect_set("big").alias("groups"))
 
@@ -294,7 +294,7 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
         for x, y in (("a", "b"), ("b", "a")):
             known = found.join(hubs.select(F.col("rep").alias(x), F.col("hub").alias("h")), x, "left")
             found = known.join(apart.select(F.col("a").alias(y), F.col("b").alias("h")), [y, "h"], "left_anti").select("a", "b")
-        news = scratch.save(confirm(scratch.save(found, "pairs", few=True), docs), "tested", few=True)
+        news = scratch.save(confirm(scratch.save(found, "pairs", few=True), docs), "tested")
         tested = tested.unionByName(news)
         if not news.where("linked").isEmpty():
             links = links.unionByName(news.where("linked").select("a", "b"))

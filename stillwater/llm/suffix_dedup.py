@@ -35,7 +35,7 @@ LENGTH = 400
 PASSAGE = 200
 GRAM = 32
 #: Distinct strings of one anchor (some 600 bytes each) that one task compares; larger groups are dealt out by window.
-GROUP_STRINGS = 20_000
+GROUP_STRINGS = 2_000
 _PLACE_BITS = np.uint64(24)
 #: Bytes of one text parsed at a time; a cut inside a longer text only splits runs.
 SEGMENT = 8 << 20
