@@ -30,7 +30,7 @@ WORD_ENDS = rf"{SUFFIXES}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+"
 #: UTF-8 bytes of plain texts: ASCII without control characters, and U+00C0 to U+00FF.
 PLAIN_BYTES = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3])
 #: Pieces that one worker remembers; it forgets all when there are more.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 350_000
 #: Marks that are a piece of their own after a run of letters.
 MARKS = ",.;:!?"
 #: Pieces that go through the library in one text, each closed by a separator.
@@ -231,3 +231,4 @@ def encoded_blocks(batches, path: str, text: str = "text", size: int = 4 << 20):
                 b += 1
             yield batch, a, b, encoder.encode(texts[a:b]), encoder
             a = b
+    pa.default_memory_pool().release_unused()  # the worker lives on

@@ -130,6 +130,7 @@ def text_blocks(batches, text: str = "text", size: int = BLOCK_BYTES) -> Iterato
         raw, off = text_buffer(batch.column(batch.schema.get_field_index(text)))
         for a, b in blocks(off, size):
             yield batch, a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def long_list(values: np.ndarray, counts: np.ndarray) -> pa.Array:
