@@ -61,6 +61,8 @@ def frame_content_size(frame: bytes) -> int | None:
     if not frame:
         raise ValueError("empty frame")
     d = frame[0]
+    if d & 8:
+        raise ValueError("reserved bit set in the frame header")
     single, flag = d >> 5 & 1, d >> 6
     size = (1 if single else 0) if flag == 0 else 1 << flag
     at = 1 + (0 if single else 1) + (0, 1, 2, 4)[d & 3]
@@ -206,3 +208,14 @@ def hex_dump(values: pd.Series) -> pd.Series:
         return out.getvalue()
 
     return values.map(dump)
+
+
+def manifest_field(meta: Column, *paths: str, default=""):
+    """The first of some JSON paths that a manifest's text has, else ``default``; damaged text has none."""
+    found = F.coalesce(*[F.get_json_object(meta, p) for p in paths])
+    return F.coalesce(found.cast("long") if isinstance(default, int) else found, F.lit(default))
+
+
+def base64_text(data: Column) -> Column:
+    """Standard base64 of bytes, without line breaks."""
+    return F.regexp_replace(F.base64(data), "[\r\n]", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path, multiLine=True).select(F.explode("entries").alias("e")).select("e.*")
 
 
+def write(entries: DataFrame, path: str) -> None:
+    """Write the catalog file under a temporary name and rename it over ``path``.
+
+    A catalog is as long as a control plane's list of datasets; it is refused
+    beyond ``BROADCAST_ENTRIES``, and if two entries share a prefix.
+    """
+    from . import snapshot
+
+    columns = ["dataset", "key_prefix", "version_id", "mount_path"]
+    rows = [r.asDict() for r in entries.select(*columns).orderBy("key_prefix", "dataset").limit(BROADCAST_ENTRIES + 1).collect()]
+    if len(rows) > BROADCAST_ENTRIES:
+        raise ValueError(f"a catalog file holds {BROADCAST_ENTRIES} entries at most")
+    if len({r["key_prefix"] for r in rows}) < len(rows):
+        raise ValueError("two entries share a key prefix")
+    snapshot.publish(entries.sparkSession, path, json.dumps({"entries": rows}, ensure_ascii=False), "rename")
+
+
 def duplicate_prefixes(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key_prefix").agg(F.count("*").alias("n")).where("n > 1")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Times of the control loop, in seconds.
 BUILD_TIMEOUT, BACKOFF, UNMOUNT_BACKOFF = 1800, (1.0, 30.0), (0.5, 5.0)
+#: Rows of a side that every row of another meets, up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 HOLDING = ["building", "ready", "active", "failed"]
 
 
@@ -47,19 +51,22 @@ def assignments(nodes: DataFrame, datasets: DataFrame, bindings: DataFrame) -> D
     def match(side: DataFrame, labels: str, selector: str, name: str) -> DataFrame:
         own = side.select(name, labels)
         picked = bindings.select("binding", F.col(selector).alias("sel"), F.coalesce(F.map_entries(selector)[0], F.lit(None)).alias("one"))
-        any_ = picked.where("sel is null or cardinality(sel) = 0").select("binding", F.lit(True).alias("every"))
+        any_ = picked.where("sel is null or cardinality(sel) = 0").select("binding")
         some = picked.where("cardinality(sel) > 0")
         exploded = own.select(name, labels, F.explode(labels).alias("lk", "lv"))
         hit = some.join(exploded, (F.col("one.key") == F.col("lk")) & (F.col("one.value") == F.col("lv"))).where(selector_matches(F.col("sel"), F.col(labels))).select("binding", name)
-        every = any_.select("binding").withColumn("_k", F.lit(1)).join(own.select(name).withColumn("_k", F.lit(1)), "_k").select("binding", name)
-        return hit.unionByName(every)
+        return hit.unionByName(all_of(own.select(name), any_).select("binding", name))
+
+    def all_of(rows: DataFrame, few: DataFrame) -> DataFrame:
+        """Every pair, which is the result by definition; the side that is copied is counted first."""
+        small = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return rows.crossJoin(F.broadcast(few) if small else few)
 
     on_node = match(nodes, "labels", "node_selector", "node")
     on_data = match(datasets, "dataset_labels", "dataset_selector", "dataset")
     bound = on_node.join(on_data, "binding").select("node", "dataset").distinct()
-    free = nodes.select("node").join(on_node.select("node"), "node", "left_anti").withColumn("_k", F.lit(1))
-    everything = free.join(datasets.select("dataset").withColumn("_k", F.lit(1)), "_k").select("node", "dataset")
-    return bound.unionByName(everything)
+    free = nodes.select("node").join(on_node.select("node"), "node", "left_anti")
+    return bound.unionByName(all_of(free, datasets.select("dataset")).select("node", "dataset"))
 
 
 def with_gone_nodes(assigned: DataFrame, known: DataFrame, present: DataFrame) -> DataFrame:
@@ -82,9 +89,13 @@ def rollout(nodes: DataFrame, states: DataFrame, versions: DataFrame) -> DataFra
     nodes, so nodes and versions are never crossed.
     """
     total = nodes.select("node").distinct()
-    s = states.join(total, "node", "left_semi").alias("s").join(versions.alias("v"), "dataset", "right")
-    error, done = F.col("s.phase") == "error", (F.col("s.phase") == "active") & (F.col("s.version_id") == F.col("v.version_id"))
-    counts = s.groupBy("dataset", F.col("v.version_id").alias("version_id")).agg(F.count_if(error).alias("error"), F.count_if(~F.coalesce(error, F.lit(False)) & done).alias("converged"))
+    s = states.join(total, "node", "left_semi")
+    failed = s.where("phase = 'error'").groupBy("dataset").agg(F.count("*").alias("error"))
+    active = s.where("phase = 'active'").groupBy("dataset", "version_id").agg(F.count("*").alias("converged"))
+    zero = F.lit(0).cast("long")
+    counts = versions.join(failed, "dataset", "left").join(active, ["dataset", "version_id"], "left").select(
+        "dataset", "version_id", F.coalesce("error", zero).alias("error"), F.coalesce("converged", zero).alias("converged")
+    )
     n = total.agg(F.count("*").alias("total"))
     return counts.crossJoin(F.broadcast(n)).withColumn("pending", F.col("total") - F.col("error") - F.col("converged"))
 
@@ -142,6 +153,12 @@ def active_of(versions: DataFrame) -> DataFrame:
     return versions.where("state = 'active'").groupBy("dataset").agg(F.max_by("version_id", F.struct("created", "version_id")).alias("active_version"))
 
 
+# Moves of a version's state.
+VERSION_STEPS = {
+    ("building", "done"): "ready", ("building", "fail"): "failed", ("ready", "promote"): "active", ("active", "retire"): "retired", ("retired", "drop"): "deleted",
+}
+
+
 def fold_version(events: DataFrame, timeout: int = BUILD_TIMEOUT) -> DataFrame:
     """Last state of each ``version`` after its ``events(version, seq, at, event)``, and the states passed.
 
@@ -150,23 +167,46 @@ def fold_version(events: DataFrame, timeout: int = BUILD_TIMEOUT) -> DataFrame:
     failed.  A done or fail later than the timeout after the start is a failure.
     Other events change nothing.
     """
-    rows = F.array_sort(F.collect_list(F.struct("seq", "at", "event")))
-    start = F.struct(F.lit("").alias("state"), F.lit(None).cast("timestamp").alias("since"), F.lit(0).cast("long").alias("moves"))
+    def step(s, row):
+        state, since = s
+        if state == "building" and row[1] is not None and since is not None and (row[1] // 1_000_000 - since // 1_000_000) > timeout:
+            return "failed", since
+        if state == "" and row[0] == "start":
+            return "building", row[1]
+        return VERSION_STEPS.get((state, row[0]), state), since
+
+    rows = events.select("version", "seq", "event", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    return _folded(rows, "version", ["event", "at"], ("", None), step, "state")
 
-    def step(s, e):
-        late = (F.unix_timestamp(e["at"]) - F.unix_timestamp(s["since"])) > timeout
-        to = (
-            F.when((s["state"] == "") & (e["event"] == "start"), "building")
-            .when((s["state"] == "building") & (late | (e["event"] == "fail")), "failed")
-            .when((s["state"] == "building") & (e["event"] == "done"), "ready")
-            .when((s["state"] == "ready") & (e["event"] == "promote"), "active")
-            .when((s["state"] == "active") & (e["event"] == "retire"), "retired")
-            .when((s["state"] == "retired") & (e["event"] == "drop"), "deleted")
-            .otherwise(s["state"])
-        )
-        return F.struct(to.alias("state"), F.when((s["state"] == "") & (to == "building"), e["at"]).otherwise(s["since"]).alias("since"), (s["moves"] + F.when(to != s["state"], 1).otherwise(0)).alias("moves"))
 
-    return events.groupBy("version").agg(rows.alias("r")).select("version", F.aggregate("r", start, step).alias("s")).select("version", "s.state", "s.moves")
+def _folded(rows: DataFrame, key: str, fields: list[str], start: tuple, step, name: str) -> DataFrame:
+    """Last state of each key's rows in ``seq`` order and how often it changed.
+
+    Rows stream through in sorted order (a sort spills), and one state is held, so
+    a key may have any number of rows.
+    """
+    def run(batches):
+        at, state, moves = None, start, 0
+        done: list[tuple] = []
+        for pdf in batches:
+            for k, *row in zip(pdf[key], *(pdf[f] for f in fields)):
+                if at is None or at[0] != k:
+                    if at is not None:
+                        done.append((at[0], state[0], moves))
+                    at, state, moves = (k,), start, 0
+                row = [None if isinstance(x, float) and x != x else int(x) if isinstance(x, (float, np.integer)) else x for x in row]
+                after = step(state, row)
+                moves += after[0] != state[0]
+                state = after
+            if done:
+                yield pd.DataFrame(done, columns=[key, name, "moves"])
+                done = []
+        if at is not None:
+            yield pd.DataFrame([(at[0], state[0], moves)], columns=[key, name, "moves"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = rows.repartition(key).sortWithinPartitions(key, "seq")
+    return dealt.mapInPandas(run, f"{key} {kind}, {name} string, moves long")
 
 
 def generations(updates: DataFrame, key: str, order: list, content: Column) -> DataFrame:
@@ -194,6 +234,68 @@ def schedule_fires(due: DataFrame, versions: DataFrame) -> DataFrame:
     return due.join(busy, "dataset", "left_anti").withColumn("version_id", F.date_format("at", "yyyyMMdd-HHmmss"))
 
 
+def cron_field(text: str, low: int, high: int) -> set[int]:
+    """Values of one field: ``*``, numbers, ranges ``a-b``, steps ``/n`` and lists of them."""
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        if (step and (not step.isdigit() or int(step) == 0)) or not span:
+            raise ValueError(f"bad step in {text!r}")
+        a, dash, b = span.partition("-")
+        if span == "*":
+            first, last = low, high
+        elif a.isdigit() and (not dash or b.isdigit()):
+            first, last = int(a), int(b) if dash else (high if step else int(a))
+        else:
+            raise ValueError(f"bad field {text!r}")
+        if not low <= first <= last <= high:
+            raise ValueError(f"{part!r} is outside {low}-{high}")
+        out.update(range(first, last + 1, int(step or 1)))
+    return out
+
+
+# The ranges of minute, hour, day of month, month and day of week (0 and 7 are Sunday).
+CRON_RANGES = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+
+
+def cron_due(expression: str, at: Column) -> Column:
+    """Whether the five-field ``expression`` fires in the minute of ``at`` (UTC).
+
+    If both day fields are restricted, either may match.
+    """
+    fields = expression.split()
+    if len(fields) != 5:
+        raise ValueError(f"a schedule has five fields: {expression!r}")
+    minute, hour, day, month, week = (cron_field(f, *r) for f, r in zip(fields, CRON_RANGES))
+    week = {d % 7 for d in week}
+    in_day, in_week = F.dayofmonth(at).isin(sorted(day)), (F.dayofweek(at) - 1).isin(sorted(week))
+    days = (in_day | in_week) if not fields[2].startswith("*") and not fields[4].startswith("*") else (in_day & in_week)
+    return F.minute(at).isin(sorted(minute)) & F.hour(at).isin(sorted(hour)) & days & F.month(at).isin(sorted(month))
+
+
+def due_schedules(schedules: DataFrame, clock: DataFrame) -> DataFrame:
+    """``dataset, at`` of each ``schedules(dataset, cron)`` that fires at a minute of ``clock(at)``.
+
+    The distinct expressions, few by nature, become one condition each.
+    """
+    crons = [r.cron for r in schedules.select("cron").distinct().collect()]
+    out = None
+    for c in crons:
+        hits = clock.where(cron_due(c, F.col("at"))).select("at", F.lit(c).alias("cron"))
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        return schedules.join(clock, F.lit(False)).select("dataset", "at")
+    return schedules.join(out, "cron").select("dataset", "at")
+
+
+def status_patches(current: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``wanted`` that differ from ``current`` in any column or are new: what has to be written."""
+    columns = [c for c in wanted.columns if c != key]
+    old = current.select(F.col(key).alias("_k"), F.struct(*columns).alias("_old"))
+    same = F.col("_old").eqNullSafe(F.struct(*[F.col(c) for c in columns])) & F.col("_k").isNotNull()
+    return wanted.join(old, wanted[key] == F.col("_k"), "left").where(~same).select(*wanted.columns)
+
+
 def catch_up_delays(datasets: DataFrame) -> DataFrame:
     """Seconds to wait before each scheduled dataset's first build: its place in the list."""
     # as long as the list of datasets, which one control plane holds
@@ -205,7 +307,8 @@ def backoff(attempt: Column, first: float, most: float) -> Column:
     return F.least(F.lit(first) * F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(62))), F.lit(most))
 
 
-NODE_STEPS = {"assign": "attaching", "attached": "mounting", "mounted": "active", "failed": "error"}
+# Moves of a node's phase; assign starts anew from any.
+NODE_MOVES = {("attaching", "attached"): "mounting", ("mounting", "mounted"): "active"}
 
 
 def fold_node(events: DataFrame) -> DataFrame:
@@ -214,16 +317,10 @@ def fold_node(events: DataFrame) -> DataFrame:
     assign starts attaching from any phase but active of the same assignment;
     attached and mounted advance from the phase before; failed is an error.
     """
-    rows = F.array_sort(F.collect_list(F.struct("seq", "event")))
-    def step(s, e):
-        to = (
-            F.when(e["event"] == "assign", "attaching")
-            .when((s["phase"] == "attaching") & (e["event"] == "attached"), "mounting")
-            .when((s["phase"] == "mounting") & (e["event"] == "mounted"), "active")
-            .when(s["phase"].isin("attaching", "mounting") & (e["event"] == "failed"), "error")
-            .otherwise(s["phase"])
-        )
-        return F.struct(to.alias("phase"), (s["moves"] + F.when(to != s["phase"], 1).otherwise(0)).alias("moves"))
-
-    start = F.struct(F.lit("").alias("phase"), F.lit(0).cast("long").alias("moves"))
-    return events.groupBy("node").agg(rows.alias("r")).select("node", F.aggregate("r", start, step).alias("s")).select("node", "s.phase", "s.moves")
+    def step(s, row):
+        phase, event = s[0], row[0]
+        if event == "failed":
+            return ("error" if phase in ("attaching", "mounting") else phase,)
+        return (NODE_MOVES.get((phase, event), "attaching" if event == "assign" else phase),)
+
+    return _folded(events.select("node", "seq", "event"), "node", ["event"], ("",), step, "phase")

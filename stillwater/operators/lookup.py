@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 
-#: Items and bits of a membership filter; its size is fixed by the bits (2 MB), not by the data.
-BLOOM_ITEMS, BLOOM_BITS = 1_000_000, 16_000_000
-
 
 def lookup(requests: DataFrame, snapshot: DataFrame, n: int) -> DataFrame:
     """``requests(key)`` against ``snapshot(key, fp, partition_id, value)``: one row per request.
@@ -23,7 +20,7 @@ def lookup(requests: DataFrame, snapshot: DataFrame, n: int) -> DataFrame:
     return out.select("key", "partition_id", "fp", F.when(F.col("found"), "hit").otherwise("miss").alias("status"), "value")
 
 
-def lookup_cost(found: DataFrame, fences: DataFrame, candidates: DataFrame) -> DataFrame:
+def lookup_cost(found: DataFrame, candidates: DataFrame) -> DataFrame:
     """Adds ``io`` (a miss that had to read) and ``reads`` (candidate blocks) without a membership filter.
 
     A miss is free if its partition is empty or its fingerprint lies below the
@@ -34,31 +31,3 @@ def lookup_cost(found: DataFrame, fences: DataFrame, candidates: DataFrame) -> D
     return out.select(*found.columns, F.coalesce("reads", F.lit(0)).cast("long").alias("reads")).withColumn(
         "io", (F.col("status") == "miss") & (F.col("reads") > 0)
     )
-
-
-def _expression(spark: SparkSession, column: Column):
-    return spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(column._jc)
-
-
-def _column(spark: SparkSession, expression) -> Column:
-    from pyspark.sql.classic.column import Column as Classic
-
-    return Classic(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
-
-
-def membership_filter(snapshot: DataFrame, items: int = BLOOM_ITEMS, bits: int = BLOOM_BITS) -> bytes | None:
-    """Bloom filter of the distinct fingerprints, merged from the tasks' partial filters; None for an empty snapshot."""
-    spark = snapshot.sparkSession
-    e = spark._jvm.org.apache.spark.sql.catalyst.expressions
-    build = e.aggregate.BloomFilterAggregate(_expression(spark, F.col("fp")), _expression(spark, F.lit(items).cast("long")), _expression(spark, F.lit(bits).cast("long")))
-    blob = snapshot.select("fp").distinct().agg(_column(spark, build.toAggregateExpression()).alias("f")).first().f
-    return None if blob is None else bytes(blob)
-
-
-def prefilter(probes: DataFrame, blob: bytes | None) -> DataFrame:
-    """Probes that the filter cannot rule out, before any read of the snapshot."""
-    if blob is None:
-        return probes.limit(0)
-    spark = probes.sparkSession
-    e = spark._jvm.org.apache.spark.sql.catalyst.expressions
-    return probes.where(_column(spark, e.BloomFilterMightContain(_expression(spark, F.lit(blob)), _expression(spark, F.col("fp")))))

@@ -35,13 +35,39 @@ def connection_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("transport").agg(opened.alias("total"), (opened - closed).alias("active"))
 
 
-def exposition(counters: DataFrame, name: str, help_text: str, labels: list[str]) -> DataFrame:
-    """Text lines (``line_no, line``) of a counter family, version 0.0.4, sorted by labels."""
-    tags = F.concat_ws(",", *[F.concat(F.lit(f'{x}="'), F.col(x), F.lit('"')) for x in labels])
-    rows = counters.select(F.concat(F.lit(f"{name}{{"), tags, F.lit("} "), F.col("n").cast("string")).alias("line"))
-    spark = counters.sparkSession
-    head = spark.createDataFrame([(0, f"# HELP {name} {help_text}"), (1, f"# TYPE {name} counter")], "ord int, line string")
-    return head.unionByName(rows.withColumn("ord", F.lit(2))).orderBy("ord", "line")
+def label_value(value: Column) -> Column:
+    """A label's text with backslash, quote and line feed escaped."""
+    text = F.replace(value.cast("string"), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(text, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
+def _tags(labels: list[str], more: list[tuple[str, Column]] = ()) -> Column:
+    pairs = [(x, label_value(F.col(x))) for x in labels] + list(more)
+    if not pairs:
+        return F.lit("")
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'{x}="'), v, F.lit('"')) for x, v in pairs]), F.lit("}"))
+
+
+def _family(rows: DataFrame, name: str, kind: str, help_text: str) -> DataFrame:
+    text = help_text.replace("\\", "\\\\").replace("\n", "\\n")
+    head = rows.sparkSession.createDataFrame([(0, f"# HELP {name} {text}"), (1, f"# TYPE {name} {kind}")], "ord int, line string")
+    return head.unionByName(rows.select("ord", "line")).orderBy("ord", "line")
+
+
+def exposition(values: DataFrame, name: str, help_text: str, labels: list[str], kind: str = "counter") -> DataFrame:
+    """Text lines (``ord, line``) of a counter or gauge family over ``values(*labels, n)``, version 0.0.4, sorted by labels."""
+    rows = values.select(F.lit(2).alias("ord"), F.concat(F.lit(name), _tags(labels), F.lit(" "), F.col("n").cast("string")).alias("line"))
+    return _family(rows, name, kind, help_text)
+
+
+def histogram_exposition(cells: DataFrame, name: str, help_text: str, labels: list[str], bounds: list, sums: DataFrame) -> DataFrame:
+    """Lines of a histogram family: ``cells(*labels, bucket, n)`` as ``histogram`` gives them, ``sums(*labels, total)``."""
+    edge = F.when(F.col("bucket") == len(bounds), "+Inf").otherwise(F.element_at(F.array(*[F.lit(f"{b:g}") for b in bounds], F.lit("+Inf")), (F.col("bucket") + 1).cast("int")))
+    line = lambda suffix, tags, value: F.concat(F.lit(name + suffix), tags, F.lit(" "), value.cast("string")).alias("line")
+    buckets = cells.select(F.lit(2).alias("ord"), line("_bucket", _tags(labels, [("le", edge)]), F.col("n")))
+    counts = cells.where(F.col("bucket") == len(bounds)).select(F.lit(4).alias("ord"), line("_count", _tags(labels), F.col("n")))
+    totals = sums.select(F.lit(3).alias("ord"), line("_sum", _tags(labels), F.col("total")))
+    return _family(buckets.unionByName(totals).unionByName(counts), name, "histogram", help_text)
 
 
 def parse_text(lines: DataFrame) -> DataFrame:

@@ -83,3 +83,39 @@ def client_parsed(text: Column) -> dict[str, Column]:
         "value": F.when(hit, F.substring(body, F.lit(1), F.length(body) - 2)),
         "declared": F.when(hit, n.cast("long")),
     }
+
+
+def response_bytes(kind: Column, key: Column, value: Column, status: Column, flag_k: Column, flag_t: Column, generation: int = 0) -> Column:
+    """``response`` over a stored binary value: the header as text, the value as it is."""
+    b = lambda x: (F.lit(x) if isinstance(x, str) else x).cast("binary")
+    head = F.concat(F.lit("VA "), F.octet_length(value).cast("string"), F.when(flag_k, F.concat(F.lit(" k"), key)).otherwise(""), F.when(flag_t, " t-1").otherwise(""), F.lit("\r\n"))
+    hit = F.concat(b(head), value, b("\r\n"))
+    return F.when((kind == "get") & (status == "hit"), hit).otherwise(b(response(kind, key, F.lit(""), status, flag_k, flag_t, generation)))
+
+
+def served(chunks: DataFrame, entries: DataFrame, lookups, generation: int = 0) -> DataFrame:
+    """``chunks(conn, seq, data)`` of raw bytes to ``conn, seq, response``: a response per complete command, in its connection's order.
+
+    Keys are routed by prefix to a dataset, whose ``Lookup`` in ``lookups`` (a
+    factory) answers; an unknown prefix is a miss, a key without a prefix an
+    internal error.  After an error or quit a connection gets nothing more.  Sort
+    by ``conn, seq`` to write; the rows are not collected anywhere.
+    """
+    from . import catalog
+
+    asked = commands(framed_stream(chunks))
+    routed = catalog.route(asked.where("kind = 'get'").select("conn", "seq", "key"), entries)
+    found = None
+    for dataset in sorted(lookups.roots):
+        mine = routed.where((F.col("outcome") == "routed") & (F.col("dataset") == dataset))
+        got = lookups.lookup(dataset).get(mine.select(F.col("bare_key").cast("binary").alias("key")).distinct())
+        one = mine.select("conn", "seq", F.col("bare_key").cast("binary").alias("k")).join(got.withColumnRenamed("key", "k"), "k").select("conn", "seq", "status", "value")
+        found = one if found is None else found.unionByName(one)
+    rows = asked.join(routed.select("conn", "seq", "outcome"), ["conn", "seq"], "left")
+    if found is not None:
+        rows = rows.join(found, ["conn", "seq"], "left")
+    else:
+        rows = rows.withColumns({"status": F.lit(None).cast("string"), "value": F.lit(None).cast("binary")})
+    status = F.when(F.col("outcome") == "unknown", "miss").when(F.col("status").startswith("miss"), "miss").when(F.col("outcome") == "routed", F.col("status")).otherwise("error")
+    answer = response_bytes(F.col("kind"), F.col("key"), F.col("value"), status, F.col("flag_k"), F.col("flag_t"), generation)
+    return rows.select("conn", "seq", answer.alias("response")).where(F.octet_length("response") > 0)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..functions import sizes as S
 from . import layout
 
 MANIFEST, VERSION = "meta.json", 1
@@ -52,6 +53,27 @@ def deduplicated(pairs: DataFrame, policy: str, order: list | None = None) -> Da
     raise ValueError(f"unknown policy {policy}")
 
 
+def unique(placed: DataFrame, policy: str, order: list | None, n: int) -> DataFrame:
+    """``placed`` rows sorted by fingerprint within (partition, top bits), duplicates treated by ``policy``: one shuffle.
+
+    Equal keys are neighbours in that order, so one look back tells them.
+    """
+    if policy not in ("error", "keep_all_count", "first_by"):
+        raise ValueError(f"unknown policy {policy}")
+    rows = placed.withColumns({"_b": H.radix_bucket(F.col("fp"), S.RADIX_BUCKETS), "_o": H.unsigned_order(F.col("fp"))})
+    sort = ["_o", "key", *(order or [])]
+    if policy == "keep_all_count":
+        return rows.repartition("partition_id", "_b").sortWithinPartitions("partition_id", "_b", *sort).drop("_b", "_o")
+    w = Window.partitionBy("partition_id", "_b").orderBy(*sort)
+    again = F.coalesce(F.lag("key").over(w) == F.col("key"), F.lit(False))
+    rows = rows.withColumn("_again", again)
+    if policy == "first_by":
+        rows = rows.where("not _again")
+    else:
+        rows = rows.withColumn("value", F.when(F.col("_again"), F.raise_error("duplicate key")).otherwise(F.col("value")))
+    return rows.drop("_b", "_o", "_again")
+
+
 def write(pairs: DataFrame, root: str, n: int = 64, on_duplicate: str = "error", order: list | None = None, encoding: dict | None = None, marker: str = "rename") -> dict:
     """Write ``pairs(key, value)`` and publish the manifest; returns it.
 
@@ -63,9 +85,8 @@ def write(pairs: DataFrame, root: str, n: int = 64, on_duplicate: str = "error",
     done = _read_text(spark, f"{root}/{MANIFEST}")
     if done is not None:
         return json.loads(done)
-    placed = layout.addressed(deduplicated(pairs, on_duplicate, order), n)
-    dealt = placed.repartitionById(n, "partition_id").sortWithinPartitions("partition_id", H.unsigned_order(F.col("fp")), "key")
-    dealt.write.mode("overwrite").partitionBy("partition_id").parquet(f"{root}/data")
+    placed = layout.addressed(pairs, n)
+    unique(placed, on_duplicate, order, n).write.mode("overwrite").partitionBy("partition_id").parquet(f"{root}/data")
     back = spark.read.parquet(f"{root}/data") if _has_rows(spark, root) else placed.limit(0)
     stats = layout.partition_stats(back).orderBy("partition_id").collect()
     meta = {
@@ -88,12 +109,15 @@ def publish(spark: SparkSession, path: str, text: str, marker: str = "rename") -
     if marker != "rename":
         raise ValueError(f"unknown marker {marker}")
     _write_text(spark, f"{path}.tmp", text)
-    fs, tmp = _fs(spark, f"{path}.tmp")
-    _, final = _fs(spark, path)
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(tmp, final):
-        raise SnapshotError(f"cannot publish {path}")
+    tmp, final = (_fs(spark, f"{path}{end}")[1] for end in (".tmp", ""))
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
+    rename = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    jvm.java.lang.reflect.Array.set(rename, 0, jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE"))
+    try:
+        context.rename(tmp, final, rename)  # over a manifest that is there, in one step: a reader sees the old or the new one
+    except Exception as e:
+        raise SnapshotError(f"cannot publish {path}") from e
 
 
 def describe(spark: SparkSession, root: str) -> dict:
@@ -129,7 +153,12 @@ def open_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, dict]:
     return data, meta
 
 
-def sample_prefix(records: DataFrame, order: str, limit: int) -> DataFrame:
-    """Non-empty values in order while their frames (8 bytes of header each) fit ``limit`` bytes."""
-    w = Window.partitionBy("partition_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return records.where("length > 0").withColumn("used", F.sum(F.col("length") + 8).over(w)).where(F.col("used") <= limit)
+def sample_prefix(records: DataFrame, order, limit: int, bucket=None) -> DataFrame:
+    """Non-empty values in order while their frames (8 bytes of header each) fit ``limit`` bytes.
+
+    ``bucket``: a coarse form of the order; buckets beyond the limit are never sorted.
+    """
+    full = records.where("length > 0").withColumn("_frame", F.col("length") + 8)
+    order = order if isinstance(order, list) else [order]
+    rows = layout.running_before(full, ["partition_id"], order, F.col("_frame"), "used", bucket, limit).withColumn("used", F.col("used") + F.col("_frame"))
+    return rows.where(F.col("used") <= limit).drop("_frame")

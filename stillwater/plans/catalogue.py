@@ -5,7 +5,10 @@ A query is registered by ``@query(sql)`` under its function's name.
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, sizes as S, text as X
 from ..functions import hashing as H
-from ..operators import catalog, layout, lifecycle, lookup, metrics, protocol, snapshot
+from ..operators import catalog, layout, lifecycle, lookup, metrics, protocol, snapshot, store
 from ..sources import kv, readers
 
 QUERIES: dict = {}
@@ -36,7 +39,14 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/stillwater"
+    """A new folder that driver and executors share; a local master may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="stillwater-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -98,7 +108,7 @@ def compact_fp_fence(spark, sf):
 CUST = "(select lpad(c_custkey::varchar, 8, '0') as key, c_name as value from customer)"
 
 
-@query(f"select (fp & 15)::int as partition_id, count(*) as n_keys, sum(strlen(value))::bigint as sum_bytes, min(strlen(value))::bigint as min_bytes, max(strlen(value))::bigint as max_bytes from {fp_sql(CUST)} group by 1")
+@query(f"select (fp & 15)::int as partition_id, count(*) as n_keys, sum(strlen(value))::bigint as sum_bytes, min(strlen(value))::bigint as min_bytes, max(strlen(value))::bigint as max_bytes, (sum(strlen(value)) // count(*))::bigint as mean_bytes from {fp_sql(CUST)} group by 1")
 def partition_stats(spark, sf):
     pairs = t(spark, sf, "customer").select(key8("c_custkey").alias("key"), F.col("c_name").alias("value"))
     return layout.partition_stats(layout.addressed(pairs, 16))
@@ -127,7 +137,7 @@ def placed_orders(spark, sf, n):
 
 @query(f"select key, p as partition_id, (coalesce(sum(a) over (partition by p order by key rows between unbounded preceding and 1 preceding), 0) // 64)::bigint as offset_units from (select key, (fp & 15)::int as p, ((strlen(value) + 12 + 63) // 64) * 64 as a from {fp_sql(ORD)})")
 def v4_offsets(spark, sf):
-    return layout.record_offsets(placed_orders(spark, sf, 16), "key").select("key", "partition_id", "offset_units")
+    return layout.record_offsets(placed_orders(spark, sf, 16), "key", F.substring("key", 1, 5)).select("key", "partition_id", "offset_units")
 
 
 @query(f"select partition_id, n_keys, buckets, buckets * 8 as index_bytes, coalesce(sum(((buckets * 8 + 2097151) // 2097152) * 2097152) over (order by partition_id rows between unbounded preceding and 1 preceding), 0)::bigint as index_offset from (select (fp & 63)::int as partition_id, count(*) as n_keys, (count(*) * 20 + 18) // 19 as buckets from {fp_sql(ORD)} group by 1)")
@@ -206,7 +216,7 @@ def candidate_blocks(spark, sf):
 def lookup_cost_no_sketch(spark, sf):
     fences = layout.block_fences(packed_orders(spark, sf))
     found = lookup.lookup(order_requests(spark, sf), layout.addressed(order_pairs(spark, sf), 4), 4)
-    return lookup.lookup_cost(found, fences, layout.candidate_blocks(probes(spark, sf), fences)).select("key", "status", "reads", "io")
+    return lookup.lookup_cost(found, layout.candidate_blocks(probes(spark, sf), fences)).select("key", "status", "reads", "io")
 
 
 @query(f"select ({u('fp')} // 1152921504606846976)::bigint as bucket, count(*) as n from {fp_sql(ORD)} group by 1")
@@ -218,7 +228,7 @@ def radix_buckets(spark, sf):
 @query(f"select count(*) as n_hits, count(*) as n_kept from {REQ} r join {ORD} o using (key)")
 def bloom_prefilter(spark, sf):
     snap = layout.addressed(order_pairs(spark, sf), 4)
-    kept = lookup.prefilter(probes(spark, sf), lookup.membership_filter(snap)).select("key", F.lit(1).alias("kept"))
+    kept = store.filtered(probes(spark, sf), store.partition_filters(snap)).select("key", F.lit(1).alias("kept"))
     hits = order_requests(spark, sf).join(snap.select("key"), "key")
     return hits.join(kept, "key", "left").agg(F.count("*").alias("n_hits"), F.count("kept").alias("n_kept"))
 
@@ -382,11 +392,11 @@ def connection_counts(spark, sf):
     return metrics.connection_counts(e)
 
 
-@query("""select doc_id, p as printable, case when p then left(x, 60) else left(lower(hex(encode(x))), 60) end as shown
+@query("""select doc_id, p as printable, sha256(case when p then x else lower(hex(encode(x))) end) as shown_sha256, strlen(case when p then x else lower(hex(encode(x))) end)::bigint as shown_bytes
 from (select doc_id, x, not regexp_matches(x, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]') as p from (select doc_id, case when doc_id % 5 = 0 then chr(1) || text else text end as x from documents))""")
 def display_value(spark, sf):
     x = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\x01"), "text")).otherwise(F.col("text")).cast("binary")
-    return t(spark, sf, "documents").select("doc_id", X.printable(x).alias("printable"), F.substring(X.display_value(x), 1, 60).alias("shown"))
+    return t(spark, sf, "documents").select("doc_id", X.printable(x).alias("printable"), F.sha2(X.display_value(x), 256).alias("shown_sha256"), F.octet_length(X.display_value(x)).cast("long").alias("shown_bytes"))
 
 
 _RES = "rtrim(left(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), 253), '-')"
@@ -416,20 +426,20 @@ def _versions_sql(dataset: str, states: dict[str, str]) -> str:
 _DS, _S1 = "'ds-' || (o_orderkey % 500)", {"O": "active", "F": "retired", "P": "ready"}
 
 
-@query(f"select v.dataset, v.version_id, p.p_brand as key_prefix from {_versions_sql(_DS, _S1)} v join part p on v.dataset = 'ds-' || p.p_partkey where v.state = 'active' and p.p_partkey < 400")
+@query(f"select v.dataset, v.version_id, p.p_brand as key_prefix from {_versions_sql(_DS, _S1)} v join part p on v.dataset = 'ds-' || p.p_partkey where v.state = 'active'")
 def active_join_dataset(spark, sf):
-    datasets = t(spark, sf, "part").where("p_partkey < 400").select(F.concat(F.lit("ds-"), "p_partkey").alias("dataset"), F.col("p_brand").alias("key_prefix"))
+    datasets = t(spark, sf, "part").select(F.concat(F.lit("ds-"), "p_partkey").alias("dataset"), F.col("p_brand").alias("key_prefix"))
     return lifecycle.active_versions(order_versions(spark, sf, _DS, _S1), datasets).select("dataset", "version_id", "key_prefix")
 
 
-@query("""with n as (select s_suppkey as node, s_nationkey as nation, s_suppkey % 3 as tier from supplier), d as (select p_partkey as dataset, p_size % 4 as size from part where p_partkey <= 50),
+@query("""with n as (select s_suppkey as node, s_nationkey as nation, s_suppkey % 3 as tier from supplier), d as (select p_partkey as dataset, p_size % 4 as size from part),
 b as (select n_nationkey as k from nation where n_nationkey % 5 <> 0), m as (select n.node, b.k from n join b on n.nation = b.k and (b.k % 4 <> 1 or n.tier = 1)),
 x as (select distinct m.node, d.dataset from m join d on m.k % 3 <> 1 or d.size = m.k % 4)
 select node, dataset from x union all select n.node, d.dataset from n cross join d where n.node not in (select node from m)""")
 def node_assignments(spark, sf):
     s, m = (lambda c: F.col(c).cast("string")), F.create_map
     nodes = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), m(F.lit("nation"), s("s_nationkey"), F.lit("tier"), (F.col("s_suppkey") % 3).cast("string")).alias("labels"))
-    data = t(spark, sf, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("dataset"), m(F.lit("brand"), F.col("p_brand"), F.lit("size"), (F.col("p_size") % 4).cast("string")).alias("dataset_labels"))
+    data = t(spark, sf, "part").select(F.col("p_partkey").alias("dataset"), m(F.lit("brand"), F.col("p_brand"), F.lit("size"), (F.col("p_size") % 4).cast("string")).alias("dataset_labels"))
     k = F.col("n_nationkey")
     on_node = F.when(k % 4 == 1, m(F.lit("nation"), s("n_nationkey"), F.lit("tier"), F.lit("1"))).otherwise(m(F.lit("nation"), s("n_nationkey")))
     on_data = F.when(k % 3 == 1, m(F.lit("size"), (k % 4).cast("string"))).when(k % 3 == 2, F.expr("cast(map() as map<string,string>)"))
@@ -454,19 +464,25 @@ def wanted(spark):
     return spark.range(12).select(F.concat(F.lit("d"), F.expr("id div 4")).alias("dataset"), F.concat(F.lit("v"), F.col("id") % 4).alias("version_id"))
 
 
-@query(f"""with s as {STATES}, w as {WANT}, n as (select distinct s_suppkey as node from supplier where s_suppkey <= 100)
+@query(f"""with s as {STATES}, w as {WANT}, n as (select distinct s_suppkey as node from supplier)
 select w.dataset, w.version_id, count(*) as total, count(*) filter (where phase = 'error') as error, count(*) filter (where phase = 'active' and s.version_id = w.version_id) as converged,
 count(*) - count(*) filter (where phase = 'error') - count(*) filter (where phase = 'active' and s.version_id = w.version_id) as pending
 from w cross join n left join s on s.node = n.node and s.dataset = w.dataset group by 1, 2""")
 def rollout_status(spark, sf):
-    nodes = t(spark, sf, "supplier").where("s_suppkey <= 100").select(F.col("s_suppkey").alias("node"))
+    nodes = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
     return lifecycle.rollout(nodes, node_states(spark, sf).select("node", "dataset", "version_id", "phase"), wanted(spark))
 
 
-@query(f"with s as {STATES} select dataset, version_id, not exists (select 1 from s where s.dataset = w.dataset and s.version_id = w.version_id) as drained from {WANT} w")
+_HELD = "not exists (select 1 from s where s.dataset = w.dataset and s.version_id = w.version_id)"
+
+
+@query(f"""with s as {STATES} select dataset, version_id, {_HELD} as drained, {_HELD} and not exists (select 1 from supplier where s_suppkey not in (select node from s)) as drained_everywhere from {WANT} w""")
 def drained_versions(spark, sf):
+    """Over the nodes that have reported, and over all nodes, some of which may be silent."""
     states = node_states(spark, sf).select("node", "dataset", "version_id")
-    return lifecycle.drained(states.select("node").distinct(), states, wanted(spark))
+    known = lifecycle.drained(states.select("node").distinct(), states, wanted(spark))
+    everywhere = lifecycle.drained(t(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), states, wanted(spark))
+    return known.join(everywhere.withColumnRenamed("drained", "drained_everywhere"), ["dataset", "version_id"])
 
 
 @query("select o_orderkey, 'pv-' || (o_orderkey % 1000) as volume from orders where o_orderstatus = 'F' and 'pv-' || (o_orderkey % 1000) not in (select 'pv-' || (l_orderkey % 1000) from lineitem where l_quantity > 49)")
@@ -484,10 +500,10 @@ def retention_excess(spark, sf):
     return lifecycle.retention_excess(order_versions(spark, sf, "o_custkey", _S2), 3).select("dataset", "version_id")
 
 
-@query("""with v as (select o_custkey as dataset, o_orderkey % 10 as n, o_orderstatus as s from orders where o_orderkey % 4 = 0)
+@query("""with v as (select o_custkey as dataset, o_orderkey % 10 as n, o_orderstatus as s from orders)
 select c_custkey as dataset, 'v' || (coalesce(max(n), 0) + 1) as version_id from customer left join v on v.dataset = c_custkey where c_custkey not in (select dataset from v where s = 'P') group by 1""")
 def ensure_version(spark, sf):
-    v = t(spark, sf, "orders").where("o_orderkey % 4 = 0").select(
+    v = t(spark, sf, "orders").select(
         F.col("o_custkey").alias("dataset"), F.concat(F.lit("v"), F.col("o_orderkey") % 10, F.lit("-x")).alias("version_id"),
         F.expr("case o_orderstatus when 'P' then 'building' else 'retired' end").alias("state"),
     )
@@ -528,10 +544,10 @@ def broker_generations(spark, sf):
     return lifecycle.generations(t(spark, sf, "events"), "user_id", ["event_id"], F.col("event_type")).select("event_id", "generation")
 
 
-@query("select o_custkey as dataset, strftime(o_orderdate, '%Y%m%d-%H%M%S') as version_id from orders where o_orderkey % 50 = 0 and o_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
+@query("select o_custkey as dataset, strftime(o_orderdate, '%Y%m%d-%H%M%S') as version_id from orders where o_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def cron_fire_guard(spark, sf):
     o = t(spark, sf, "orders")
-    due = o.where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("dataset"), F.col("o_orderdate").alias("at"))
+    due = o.select(F.col("o_custkey").alias("dataset"), F.col("o_orderdate").alias("at"))
     v = o.select(F.col("o_custkey").alias("dataset"), F.when(F.col("o_orderstatus") == "P", "building").otherwise("ready").alias("state"))
     return lifecycle.schedule_fires(due, v).select("dataset", "version_id")
 
@@ -599,11 +615,15 @@ def oversize_report(spark, sf):
     return kv.oversized(pairs, 4096)
 
 
+def document_pairs(spark, sf):
+    return t(spark, sf, "documents").select(key8("doc_id").cast("binary").alias("key"), F.col("text").cast("binary").alias("value"))
+
+
 @query("select count(*) as n, count(*) as n_equal, sum(strlen(text))::bigint as raw_bytes, true as smaller from documents")
 def zstd_roundtrip_stats(spark, sf):
-    docs = t(spark, sf, "documents").select(F.col("text").cast("binary").alias("v"))
-    sample = [bytes(r.v) for r in docs.limit(200).collect()]  # bounded: the dictionary's sample
-    d = codec.train_dictionary(sample, 16 << 10)
+    """All texts through a dictionary trained on the build's own sample."""
+    d, _ = store.dictionary_of(layout.addressed(document_pairs(spark, sf), 64))
+    docs = document_pairs(spark, sf).select(F.col("value").alias("v"))
     packed = docs.select("v", codec.compress(F.col("v"), d).alias("c"))
     back = packed.select("v", "c", codec.decompress(F.col("c.stored"), F.col("c.compressed"), d).alias("b"))
     return back.agg(
@@ -611,6 +631,94 @@ def zstd_roundtrip_stats(spark, sf):
     )
 
 
+@query("select lpad(doc_id::varchar, 8, '0') as key, 'hit' as status, sha256(text) as value_sha256 from documents union all select lpad((doc_id + 50000000)::varchar, 8, '0'), 'miss', null from documents")
+def compressed_get(spark, sf):
+    """A snapshot compressed with its own dictionary, asked for every key and as many that it lacks."""
+    root = scratch_path(spark, "compressed")
+    store.build(document_pairs(spark, sf), root, n=4, compression="zstd-dict")
+    keys = t(spark, sf, "documents").select("doc_id")
+    asked = keys.unionByName(keys.select((F.col("doc_id") + 50_000_000).alias("doc_id"))).select(key8("doc_id").alias("key"))
+    found = store.Lookup(spark, root).get(asked)
+    return found.select(F.col("key").cast("string").alias("key"), F.when(F.col("status") == "hit", "hit").otherwise("miss").alias("status"), F.sha2("value", 256).alias("value_sha256"))
+
+
+@query("""with p as (select (fp & 3)::int as partition_id, strlen(text) as n from (select * from """ + fp_sql("(select lpad(doc_id::varchar, 8, '0') as key, text from documents)") + """))
+select partition_id, count(*) as n_keys, sum(n)::bigint as raw_bytes, true as smaller, true as adds_up, true as sample_smaller from p group by rollup (partition_id)""")
+def compressed_build_stats(spark, sf):
+    """Statistics of a compressed build by partition and in all, from its manifest, and its sample's ratio."""
+    meta = store.build(document_pairs(spark, sf), scratch_path(spark, "stats"), n=4, compression="zstd-dict")
+    rows = [(p["id"], p) for p in meta["partitions"]] + [(None, meta["stats"])]
+    out = [(i, p["n_keys"], p["raw_bytes"], p["stored_bytes"] < p["raw_bytes"], p["n_compressed"] + p["n_raw"] == p["n_keys"], meta["sample"]["stored_bytes"] < meta["sample"]["raw_bytes"]) for i, p in rows]
+    return spark.createDataFrame(out, "partition_id int, n_keys long, raw_bytes long, smaller boolean, adds_up boolean, sample_smaller boolean")
+
+
+@query(f"select r.key, case when o.key is null then 'miss' else 'hit' end as status, o.value from {REQ} r left join {ORD} o on r.key = o.key")
+def load_then_get(spark, sf):
+    """From a load specification to a published snapshot to a batch of gets on it."""
+    root = scratch_path(spark, "load")
+    source = scratch_path(spark, "source")
+    order_pairs(spark, sf).write.parquet(source)
+    spec = kv.LoadSpec.from_json(json.dumps({"source": {"table": {"path": source}}, "key": "key", "value": "value", "partitions": 4, "output": root}))
+    spec.load(spark)
+    found = store.Lookup(spark, root).get(order_requests(spark, sf))
+    return found.select(F.col("key").cast("string").alias("key"), F.when(F.col("status") == "hit", "hit").otherwise("miss").alias("status"), F.col("value").cast("string").alias("value"))
+
+
+@query(f"select (fp & 3)::int as partition_id, count(*) as n_keys, 0::bigint as lost, true as few_pass from {fp_sql(ORD)} group by 1")
+def partition_filters(spark, sf):
+    """A filter per partition: no key of it is lost, and of keys that it lacks under one in a hundred passes."""
+    placed = layout.addressed(order_pairs(spark, sf), 4)
+    filters = store.partition_filters(placed)
+    kept = store.filtered(placed.select("key", "partition_id", "fp"), filters).groupBy("partition_id").agg(F.count("*").alias("kept"))
+    absent = t(spark, sf, "orders").select(F.lpad((F.col("o_orderkey") + 50_000_000).cast("string"), 8, "0").alias("key"))
+    others = layout.addressed(absent, 4).select("key", "partition_id", "fp")
+    passed = store.filtered(others, filters).groupBy("partition_id").agg(F.count("*").alias("passed"))
+    rows = placed.groupBy("partition_id").agg(F.count("*").alias("n_keys")).join(kept, "partition_id", "left").join(passed, "partition_id", "left")
+    return rows.select("partition_id", "n_keys", (F.col("n_keys") - F.coalesce("kept", F.lit(0))).alias("lost"), (F.coalesce("passed", F.lit(0)) <= 5 + F.col("n_keys") / 100).alias("few_pass"))
+
+
+@query(f"""with p as (select count(*) as n_keys, (count(*) * 20 + 18) // 19 as buckets from {fp_sql(ORD)} group by fp & 63)
+select count(*) as partitions, sum(buckets)::bigint as buckets, min(n_keys * 1000000 // buckets)::bigint as fill_min, max(n_keys * 1000000 // buckets)::bigint as fill_max, (sum(n_keys) * 1000000 // sum(buckets))::bigint as fill_mean,
+count(*) filter (where buckets * 8 > 2097152) as overflow_partitions, 0::bigint as retries from p""")
+def index_stats(spark, sf):
+    return layout.index_stats(layout.index_layout(layout.partition_stats(placed_orders(spark, sf, 64))))
+
+
+_CROWD = "(select lpad((l_orderkey % 7)::varchar, 8, '0') as key from lineitem)"
+
+
+@query(f"select (fp & 3)::int as partition_id, case when {high('fp')} = 0 then 1 else {high('fp')} end as cfp, count(*) as n from {fp_sql(_CROWD)} group by 1, 2 having count(*) > 255")
+def crowd_guard(spark, sf):
+    """Compact fingerprints that a version 4 table could not hold."""
+    pairs = t(spark, sf, "lineitem").select(F.lpad((F.col("l_orderkey") % 7).cast("string"), 8, "0").alias("key"))
+    return layout.crowded_fingerprints(layout.addressed(pairs, 4))
+
+
+@query(f"""with e as (select user_id as conn, event_id as seq, event_id % 9 as m, case when event_id % 9 = 4 then 'version' when event_id % 9 = 5 then 'ms k 3' when event_id % 9 = 6 then 'mg none:1 v' when event_id % 9 = 7 then 'mg nocolon v'
+   else 'mg orders:' || lpad((event_id % 3000 + 1)::varchar, 8, '0') || ' v k' end as line, lpad((event_id % 3000 + 1)::varchar, 8, '0') as k from events)
+select conn, row_number() over (partition by conn order by seq) as seq, case when m = 4 then 'VERSION 0.1.0 gen/1' || chr(13) || chr(10) when m = 5 then 'SERVER_ERROR read-only' || chr(13) || chr(10) when m = 6 then 'EN' || chr(13) || chr(10)
+ when m = 7 then 'SERVER_ERROR internal error' || chr(13) || chr(10) when o.key is null then 'EN' || chr(13) || chr(10) else 'VA ' || strlen(o.value) || ' korders:' || e.k || chr(13) || chr(10) || o.value || chr(13) || chr(10) end as response
+from e left join {ORD} o on o.key = e.k and e.m not in (4, 5, 6, 7)""")
+def request_path(spark, sf):
+    """Bytes of many connections: framed, parsed, routed by prefix, looked up in a stored snapshot, answered in order."""
+    root = scratch_path(spark, "served")
+    store.build(order_pairs(spark, sf).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")), root, n=4)
+    key = F.lpad((F.col("event_id") % 3000 + 1).cast("string"), 8, "0")
+    m = F.col("event_id") % 9
+    line = F.when(m == 4, "version\r\n").when(m == 5, "ms k 3\r\nabc\r\n").when(m == 6, "mg none:1 v\r\n").when(m == 7, "mg nocolon v\r\n").otherwise(F.concat(F.lit("mg orders:"), key, F.lit(" v k\r\n")))
+    chunks = t(spark, sf, "events").select(F.col("user_id").alias("conn"), F.col("event_id").alias("seq"), line.cast("binary").alias("data"))
+    entries = spark.createDataFrame([("orders", "orders", "v1", "/m")], "dataset string, key_prefix string, version_id string, mount_path string")
+    out = protocol.served(chunks, entries, store.LookupFactory(spark, {"orders": root}), generation=1)
+    return out.select("conn", "seq", F.col("response").cast("string").alias("response"))
+
+
+@query("""select user_id as phase, ts as at, n - ln as keys, b - lb as bytes, case when e > le then floor((n - ln) / ((e - le) / 1e6::double))::bigint end as keys_per_second, case when e > le then floor((b - lb) / ((e - le) / 1e6::double))::bigint end as bytes_per_second
+from (select *, lag(n) over w as ln, lag(b) over w as lb, lag(e) over w as le from (select user_id, ts, epoch_us(ts) as e, max(event_id) as n, max(event_id) * 3 as b from events group by 1, 2, 3) window w as (partition by user_id order by ts)) where le is not null""")
+def progress_rates(spark, sf):
+    e = t(spark, sf, "events").groupBy(F.col("user_id").alias("phase"), F.col("ts").alias("at")).agg(F.max("event_id").alias("keys"), (F.max("event_id") * 3).alias("bytes"))
+    return store.progress_rates(e)
+
+
 @query("select c_custkey, c_name, c_nationkey, c_acctbal from customer")
 def protobuf_roundtrip(spark, sf):
     c = t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
@@ -629,10 +737,10 @@ def snapshot_roundtrip(spark, sf):
     return data.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
-@query(f"select key, used from (select key, (fp & 3)::int as p, sum(length + 8) over (partition by (fp & 3) order by key)::bigint as used from {fp_sql(DOCKEY)} where length > 0) where used <= 65536 and p = 0")
+@query(f"""with d as (select key, (fp & 3)::int as p, {u('fp')} as uf, length from {fp_sql(DOCKEY)} where length > 0)
+select key, used from (select key, sum(length + 8) over (order by uf, key rows unbounded preceding)::bigint as used from d where p = (select min(p) from d)) where used <= {codec.SAMPLE_BYTES}""")
 def sample_prefix(spark, sf):
-    docs = t(spark, sf, "documents").select(key8("doc_id").alias("key"), F.octet_length("text").cast("long").alias("length"))
-    return snapshot.sample_prefix(layout.addressed(docs, 4).where("partition_id = 0"), "key", 65536).select("key", "used")
+    return store.first_sample(layout.addressed(document_pairs(spark, sf), 4)).select(F.col("key").cast("string").alias("key"), "used")
 
 
 NAMES = ["a.b.c", "a.b.c.d", "projects/p/datasets/d/tables/t", "a.b", "nodots"]
@@ -701,8 +809,87 @@ METAS = ['{"encoding":{"protobuf":{"descriptor":"QUJD","message_name":"a.B"}},"i
 @query("select i::bigint as i, descriptor, message_name, index_bytes::bigint as index_bytes from (values (0, 'QUJD', 'a.B', 77), (1, '', '', 0), (2, '', '', 0), (3, '', '', 0), (4, '', '', 0)) v(i, descriptor, message_name, index_bytes)")
 def manifest_fields(spark, sf):
     m = spark.createDataFrame(list(enumerate(METAS)), "i long, meta string")
-    get = lambda path: F.get_json_object("meta", path)
+    m = m.withColumn("meta", F.coalesce("meta", F.lit("")))
     return m.select(
-        "i", F.coalesce(get("$.encoding.protobuf.descriptor"), F.lit("")).alias("descriptor"), F.coalesce(get("$.encoding.protobuf.message_name"), F.lit("")).alias("message_name"),
-        F.coalesce(get("$.index.index_bytes").cast("long"), F.lit(0)).alias("index_bytes"),
+        "i", codec.manifest_field(F.col("meta"), "$.encoding.protobuf.descriptor").alias("descriptor"),
+        codec.manifest_field(F.col("meta"), "$.encoding.protobuf.message_name").alias("message_name"), codec.manifest_field(F.col("meta"), "$.index.index_bytes", default=0).alias("index_bytes"),
+    )
+
+
+@query("select doc_id, base64(encode(text)) as packed from documents")
+def base64_documents(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", codec.base64_text(F.col("text").cast("binary")).alias("packed"))
+
+
+_CRON = ["*/15 * * * *", "0 2 * * 1-5", "30 4 1,15 * 5", "5 0 * 8 *"]
+
+
+@query("""with c as (select ts as "at", minute(ts) as m, hour(ts) as h, day(ts) as d, month(ts) as mo, dayofweek(ts) as w from (select distinct date_trunc('minute', ts) as ts from events)),
+hit as (select "at", 0 as k from c where m % 15 = 0 union all select "at", 1 from c where m = 0 and h = 2 and w between 1 and 5 union all select "at", 2 from c where m = 30 and h = 4 and (d in (1, 15) or w = 5) union all select "at", 3 from c where m = 5 and h = 0 and mo = 8)
+select n_name as dataset, "at" from nation join hit on n_nationkey % 4 = k""")
+def cron_due(spark, sf):
+    """Schedules in five fields, over every minute in which something happened."""
+    cron = F.element_at(F.array(*[F.lit(x) for x in _CRON]), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    schedules = t(spark, sf, "nation").select(F.col("n_name").alias("dataset"), cron.alias("cron"))
+    clock = t(spark, sf, "events").select(F.date_trunc("minute", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("at")).distinct()
+    return lifecycle.due_schedules(schedules, clock)
+
+
+@query("""select s_suppkey as node, s_nationkey % 3 as error, s_suppkey % 5 as converged from supplier where s_suppkey % 7 = 0 or s_suppkey % 4 = 0 or s_nationkey % 3 <> 0""")
+def status_patch(spark, sf):
+    """Statuses to write: changed, or not there yet."""
+    wanted = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 3).alias("error"), (F.col("s_suppkey") % 5).alias("converged"))
+    there = wanted.where("node % 7 <> 0").select("node", F.lit(0).cast(wanted.schema["error"].dataType).alias("error"), F.when(F.col("node") % 4 == 0, -1).otherwise(F.col("converged")).cast(wanted.schema["converged"].dataType).alias("converged"))
+    return lifecycle.status_patches(there, wanted, "node")
+
+
+@query("select 0 as ord, '# HELP doc_bytes Sizes' as line union all select 1, '# TYPE doc_bytes histogram' union all "
+    + " union all ".join(f"select 2, 'doc_bytes_bucket{{lang=\"' || replace(coalesce(lang, 'a\"b'), '\"', chr(92) || '\"') || '\",le=\"{b:g}\"}} ' || count(*) filter (where strlen(text) <= {b}) from documents group by lang" for b in metrics.RESPONSE_BYTES)
+    + " union all select 2, 'doc_bytes_bucket{lang=\"' || replace(coalesce(lang, 'a\"b'), '\"', chr(92) || '\"') || '\",le=\"+Inf\"} ' || count(text) from documents group by lang"
+    + " union all select 3, 'doc_bytes_sum{lang=\"' || replace(coalesce(lang, 'a\"b'), '\"', chr(92) || '\"') || '\"} ' || sum(strlen(text)) from documents group by lang"
+    + " union all select 4, 'doc_bytes_count{lang=\"' || replace(coalesce(lang, 'a\"b'), '\"', chr(92) || '\"') || '\"} ' || count(text) from documents group by lang")
+def histogram_exposition(spark, sf):
+    d = t(spark, sf, "documents").select(F.coalesce("lang", F.lit('a"b')).alias("lang"), F.octet_length("text").cast("long").alias("n"))
+    cells = metrics.histogram(d, F.col("n"), metrics.RESPONSE_BYTES, ["lang"])
+    return metrics.histogram_exposition(cells, "doc_bytes", "Sizes", ["lang"], metrics.RESPONSE_BYTES, d.groupBy("lang").agg(F.sum("n").alias("total")))
+
+
+@query("select 'p' || p_partkey as dataset, p_brand || '-' || p_partkey as key_prefix, 'v' || p_size as version_id, '/m' as mount_path from part")
+def catalog_file(spark, sf):
+    """A catalog written as a file and read again."""
+    p = t(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("dataset"), F.concat("p_brand", F.lit("-"), "p_partkey").alias("key_prefix"), F.concat(F.lit("v"), "p_size").alias("version_id"), F.lit("/m").alias("mount_path"))
+    path = f"{scratch_path(spark, 'catalog')}/catalog.json"
+    catalog.write(p, path)
+    return catalog.read(spark, path)
+
+
+@query("select o_orderkey, 'pv-' || (o_orderkey % 1000) as volume from orders where o_orderstatus = 'F' and 'pv-' || (o_orderkey % 1000) in (select 'pv-' || (l_orderkey % 1000) from lineitem where l_quantity > 49)")
+def touched_versions(spark, sf):
+    v = t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("pv-"), F.col("o_orderkey") % 1000).alias("volume"), F.when(F.col("o_orderstatus") == "F", "retired").otherwise("active").alias("state"))
+    a = t(spark, sf, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("pv-"), F.col("l_orderkey") % 1000).alias("volume"))
+    return lifecycle.touched_by(a, v).select("o_orderkey", "volume")
+
+
+@query("select user_id as node, arg_max(event_type, event_id) as report from events group by 1")
+def state_reports(spark, sf):
+    """The full state that each node reported last."""
+    e = t(spark, sf, "events").select(F.col("user_id").alias("node"), F.col("event_type").alias("report"), "event_id")
+    return lifecycle.latest(e, "node", [F.desc("event_id")]).select("node", "report")
+
+
+@query("select n_name || '-v' || n_regionkey as version_name, 'shop.' || n_name as full_name, n_name as bare_name from nation")
+def qualified_names(spark, sf):
+    return t(spark, sf, "nation").select(
+        X.version_name(F.col("n_name"), F.concat(F.lit("v"), "n_regionkey")).alias("version_name"), X.qualified_name(F.lit("shop"), F.col("n_name")).alias("full_name"), X.qualified_name(F.lit(""), F.col("n_name")).alias("bare_name"),
     )
+
+
+@query("select json_object('datasets', list(json_object('dataset', n_name, 'version_id', 'v' || n_regionkey, 'loaded_at', '2024-01-15T10:30:00Z') order by n_name))::varchar as body from nation")
+def version_body(spark, sf):
+    at = F.expr("timestamp '2024-01-15 10:30:00'")
+    return catalog.version_json(t(spark, sf, "nation").select(F.col("n_name").alias("dataset"), F.concat(F.lit("v"), "n_regionkey").alias("version_id"), at.alias("loaded_at")))
+
+
+@query("select p_partkey, length(p_name) > 0 and not regexp_matches(p_name, '[ \r\n]') as valid from part")
+def client_keys(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", protocol.valid_client_key(F.col("p_name")).alias("valid"))

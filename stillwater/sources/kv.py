@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import logging
 import re
@@ -126,6 +127,24 @@ class LoadSpec:
     def pairs(self, spark: SparkSession) -> DataFrame:
         return to_pairs(self.frame(spark), self)
 
+    def load(self, spark: SparkSession, progress=None) -> dict:
+        """Read, encode and publish a snapshot at ``output``; returns its manifest.
+
+        ``partitions``, ``version`` and ``compression`` shape it; a descriptor goes
+        into the manifest.  ``index_parallelism`` caps how many buckets of the
+        filters' stage run at once only through the cluster's own settings.
+        """
+        from ..operators import store
+
+        if not self.output:
+            raise ValueError("an output is required")
+        df = self.frame(spark)
+        encoding = None
+        if self.encoding == "protobuf":
+            descriptor, message = _descriptor(df, self)
+            encoding = {"protobuf": {"descriptor": base64.b64encode(descriptor).decode(), "message_name": message}}
+        return store.build(to_pairs(df, self), self.output, self.partitions, self.version, self.compression, encoding=encoding, progress=progress)
+
     def dry_run(self, spark: SparkSession) -> T.StructType:
         """Binds everything and reads no row."""
         return self.pairs(spark).schema
@@ -135,18 +154,30 @@ def value_columns(df: DataFrame, key: str, include_key: bool = False) -> list[st
     return [c for c in df.columns if include_key or c != key]
 
 
+def _descriptor(df: DataFrame, spec: "LoadSpec") -> tuple[bytes, str]:
+    fields = [(c, df.schema[c].dataType.simpleString()) for c in value_columns(df, spec.key, spec.include_key)]
+    return codec.resolve_descriptor(fields, spec.package, spec.message, spec.descriptor)
+
+
+def _raw(df: DataFrame, spec: "LoadSpec") -> Column:
+    return raw_value(df, spec.value)
+
+
+def _protobuf(df: DataFrame, spec: "LoadSpec") -> Column:
+    names = value_columns(df, spec.key, spec.include_key)
+    return codec.encode_message([F.col(f"`{c}`") for c in names], names, *_descriptor(df, spec))
+
+
+#: Value encodings by name; a function of the table and the specification gives the value column.
+ENCODERS = {"raw": _raw, "protobuf": _protobuf}
+
+
 def to_pairs(df: DataFrame, spec: LoadSpec) -> DataFrame:
     """``key, value`` under the spec's encoding and checks."""
     key = key_bytes(df, spec.key)
-    if spec.encoding == "raw":
-        value = raw_value(df, spec.value)
-    elif spec.encoding == "protobuf":
-        names = value_columns(df, spec.key, spec.include_key)
-        fields = [(c, df.schema[c].dataType.simpleString()) for c in names]
-        descriptor, message = codec.resolve_descriptor(fields, spec.package, spec.message, spec.descriptor)
-        value = codec.encode_message([F.col(f"`{c}`") for c in names], names, descriptor, message)
-    else:
+    if spec.encoding not in ENCODERS:
         raise ValueError(f"unknown encoding {spec.encoding}")
+    value = ENCODERS[spec.encoding](df, spec)
     return checked(df.select(key.alias("key"), value.alias("value")), spec.max_value, spec.version)
 
 

@@ -46,12 +46,12 @@ def version_states(events: DataFrame, timeout_seconds: int = BUILD_TIMEOUT) -> D
     timer or by the times of its own events.
     """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, since = state.get if state.exists else ("", 0.0)
+        now, since = state.get if state.exists else ("", 0)
         if state.hasTimedOut:
             now = "failed" if now == "building" else now
         for pdf in batches:
             for e in pdf.sort_values("seq").itertuples():
-                at = e.at.timestamp()
+                at = int(e.at.timestamp() // 1)  # whole seconds, as in the batch fold
                 to = "failed" if now == "building" and at - since > timeout_seconds else MOVES.get((now, e.event), now)
                 since = at if (now, to) == ("", "building") else since
                 now = to
@@ -61,7 +61,7 @@ def version_states(events: DataFrame, timeout_seconds: int = BUILD_TIMEOUT) -> D
         yield pd.DataFrame({"version": [key[0]], "state": [now]})
 
     return events.groupBy("version").applyInPandasWithState(
-        run, f"version {events.schema['version'].dataType.simpleString()}, state string", "state string, since double", "update", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"version {events.schema['version'].dataType.simpleString()}, state string", "state string, since long", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

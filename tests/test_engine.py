@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stillwater.functions import codec, hashing, sizes
 from stillwater.functions import text as X
-from stillwater.operators import catalog, layout, lifecycle, lookup, protocol, snapshot
+from stillwater.operators import catalog, layout, lifecycle, lookup, protocol, snapshot, store
 from stillwater.plans import catalogue
 from stillwater.sources import kv, readers
 from stillwater.streaming import streams
@@ -288,3 +288,162 @@ def test_snapshot_data_source_reads_pairs_and_refuses_incomplete(spark, tmp_path
     os.remove(f"{tmp_path}/s/meta.json")
     with pytest.raises(Exception):
         spark.read.format("kv_snapshot").load(root).collect()
+
+
+# ---------------------------------------------------------------- stored snapshots
+
+
+def docs_like(spark, n=300):
+    return readers.pairs(spark, [(b"k%d" % k, b"" if k % 50 == 0 else (b"value %d " % (k % 9)) * (k % 40)) for k in range(n)])
+
+
+@pytest.mark.parametrize("compression", ["none", "zstd", "zstd-dict"])
+@pytest.mark.parametrize("version", [4, 5])
+def test_build_get_and_scan(spark, tmp_path, compression, version):
+    root, told = f"file://{tmp_path}/s", []
+    pairs = docs_like(spark)
+    meta = store.build(pairs, root, n=4, version=version, compression=compression, progress=told.append)
+    want = {bytes(r.key): bytes(r.value) for r in pairs.collect()}
+    assert meta["stats"]["n_keys"] == len(want) == sum(p["n_keys"] for p in meta["partitions"])
+    assert meta["stats"]["raw_bytes"] == sum(map(len, want.values()))
+    assert (meta["stats"]["n_compressed"] > 0) == (compression != "none" and version == 5)
+    assert [p.phase for p in told] == ["plan", "data", "filters"] and not any(p.skipped for p in told) and told[1].keys_per_second > 0
+    look = store.LookupFactory(spark, {"d": root}).lookup("d")
+    assert {bytes(r.key): bytes(r.value) for r in look.scan().collect()} == want
+    asked = spark.createDataFrame([(k,) for k in [*want, b"none", b"k0", b"absent"]], "key binary")
+    got = look.get(asked).collect()
+    assert len(got) == len(want) + 3
+    for r in got:
+        k = bytes(r.key)
+        assert (r.status, r.value and bytes(r.value)) == ("hit", want[k] or r.value) if k in want else r.status in ("miss", "miss_io")
+    assert look.get_one(b"k7") == ("hit", want[b"k7"]) and look.get_one(b"no")[1] is None
+
+
+def test_build_goes_on_where_it_broke_off(spark, tmp_path):
+    root, told = f"file://{tmp_path}/s", []
+    store.build(docs_like(spark), root, n=2, compression="zstd-dict")
+    before = sorted(os.listdir(tmp_path / "s" / "data"))
+    os.remove(tmp_path / "s" / "meta.json")
+    store.build(docs_like(spark), root, n=2, compression="zstd-dict", progress=told.append)
+    assert all(p.skipped for p in told) and sorted(os.listdir(tmp_path / "s" / "data")) == before
+    os.remove(tmp_path / "s" / "meta.json")
+    with pytest.raises(snapshot.SnapshotError):
+        store.build(docs_like(spark), root, n=4, compression="zstd-dict")
+
+
+def test_damage_is_an_error_and_never_a_miss(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    store.build(docs_like(spark), root, n=2, compression="zstd-dict")
+    bad = store.partition_filters(store.Lookup(spark, root).data).withColumn("checksum", F.col("checksum") + 1)
+    with pytest.raises(Exception, match="damaged filter"):
+        store.filtered(store.Lookup(spark, root).probes(docs_like(spark)), bad).collect()
+    if (tmp_path / "s" / "dict.bin").exists():
+        (tmp_path / "s" / "dict.bin").write_bytes(b"x")
+        for f in (tmp_path / "s").glob(".dict.bin.crc"):
+            f.unlink()
+        with pytest.raises(snapshot.SnapshotError):
+            store.Lookup(spark, root)
+    with pytest.raises(ValueError):
+        codec.frame_content_size(bytes([0b00101000, 5]))
+
+
+def test_empty_build_opens_and_misses(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    store.build(readers.pairs(spark, []), root, n=2)
+    assert store.Lookup(spark, root).get_one(b"a") == ("miss", None)
+
+
+def test_duplicates_in_one_shuffle(spark, tmp_path):
+    rows = readers.pairs(spark, [(b"a", b"1"), (b"a", b"2"), (b"b", b"3")])
+    placed = layout.addressed(rows, 2)
+    assert snapshot.unique(placed, "keep_all_count", None, 2).count() == 3
+    assert {(bytes(r.key), bytes(r.value)) for r in snapshot.unique(placed, "first_by", [F.desc("value")], 2).collect()} == {(b"a", b"2"), (b"b", b"3")}
+    with pytest.raises(Exception, match="duplicate key"):
+        store.build(rows, f"file://{tmp_path}/s", n=2)
+    plan = snapshot.unique(placed, "error", None, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_published_manifest_is_replaced_in_one_step(spark, tmp_path):
+    path = f"file://{tmp_path}/m.json"
+    for text in ("one", "two"):
+        snapshot.publish(spark, path, text)
+        assert (tmp_path / "m.json").read_text() == text and not (tmp_path / "m.json.tmp").exists()
+
+
+def test_load_publishes_protobuf_and_patches_descriptors(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    spec = kv.LoadSpec.from_json(json.dumps({"source": {"csv": {"data": "id,name\n1,a\n2,b\n"}}, "key": "id", "encoding": "protobuf", "package": "p", "include_key": True, "partitions": 2, "output": root}))
+    meta = spec.load(spark)
+    pb = meta["encoding"]["protobuf"]
+    descriptor = __import__("base64").b64decode(pb["descriptor"])
+    got = store.Lookup(spark, root).scan().select(codec.decode_message(F.col("value"), descriptor, pb["message_name"]).alias("j")).collect()
+    assert sorted(json.loads(r.j)["id"] for r in got) == [1, 2]
+    assert store.with_descriptor(spark, root, b"x", "p.R")["encoding"] == snapshot.describe(spark, root)["encoding"] == {"protobuf": {"descriptor": "eA==", "message_name": "p.R"}}
+    numbers = spark.createDataFrame([(5,)], "n long").select(codec.encode_message([F.col("n")], ["n"], codec.file_descriptor([("n", "bigint")], "p", "M"), "p.M").alias("v"))
+    assert numbers.select(codec.decode_message(F.col("v"), codec.file_descriptor([("n", "bigint")], "p", "M"), "p.M", False).alias("j")).first().j == '{"n":"5"}'
+
+
+def test_length_limits(spark):
+    rows = readers.pairs(spark, [(b"a", b"12345")])
+    assert kv.checked(rows, 5).count() == 1
+    with pytest.raises(Exception, match="over 4"):
+        kv.checked(rows, 4).collect()
+    assert "over 1073741823" in kv.checked(rows, 1 << 40)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 64])
+def test_packing_side_by_side_equals_one_fold(spark, buckets):
+    rng = __import__("random").Random(buckets)
+    rows = [(f"{k:05d}", rng.getrandbits(64) - (1 << 63), k % 2, 8 * rng.choice([2, 3, 9, 40, 200, 255, 260])) for k in range(900)]
+    records = spark.createDataFrame(rows, "key string, fp long, partition_id int, stored_length long")
+    want = {}
+    for p in (0, 1):
+        block = used = 0
+        for key, fp, _, size in sorted((r for r in rows if r[2] == p), key=lambda r: (r[1] % (1 << 64), r[0])):
+            if used and used + size > 2044:
+                block, used = block + 1, 0
+            want[key] = (p, block, used)
+            used += size
+    got = {r.key: (r.partition_id, r.block, r.block_offset) for r in layout.packed_blocks(records, 2048, buckets).collect()}
+    assert got == want
+
+
+def test_crowded_fingerprints_are_refused(spark):
+    pairs = layout.addressed(readers.pairs(spark, [(b"same", b"%d" % k) for k in range(256)]), 2)
+    with pytest.raises(ValueError, match="256 records"):
+        layout.refuse_crowded(pairs)
+    layout.refuse_crowded(pairs.limit(255))
+
+
+@pytest.mark.parametrize("text", ["* * * *", "60 * * * *", "*/0 * * * *", "a * * * *", "5-1 * * * *", "* * 0 * *", "* * * 13 *"])
+def test_bad_schedules_are_rejected(text):
+    with pytest.raises(ValueError):
+        lifecycle.cron_due(text, F.lit(None).cast("timestamp"))
+
+
+def test_folds_take_hot_keys_and_null_times(spark):
+    rows = [(1, k, None, "start" if k == 0 else "other") for k in range(30_000)] + [(1, 30_000, None, "done"), (2, 0, None, "done")]
+    got = lifecycle.fold_version(spark.createDataFrame(rows, "version long, seq long, at timestamp, event string")).collect()
+    assert {(r.version, r.state, r.moves) for r in got} == {(1, "ready", 2), (2, "", 0)}
+
+
+def test_idle_sessions_and_periodic_reports(spark, tmp_path):
+    at = "timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,"
+    rows = spark.range(1).selectExpr(f"explode(array({at}0), {at}200), {at}900))) as at").withColumn("conn", F.lit(1))
+    assert sorted(r.n for r in streams.idle_sessions(rows).collect()) == [1, 2]
+    assert [r.n for r in streams.idle_sessions(rows, 0).collect()] == [3]
+    spark.range(3).write.parquet(f"{tmp_path}/r")
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/r")
+    q = streams.periodic(stream, 1).format("memory").queryName("reports").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select * from reports").count() == 3
+
+
+def test_catalog_files_refuse_shared_prefixes(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "p", "v1", "/m"), ("b", "p", "v1", "/m")], "dataset string, key_prefix string, version_id string, mount_path string")
+    with pytest.raises(ValueError):
+        catalog.write(rows, f"file://{tmp_path}/c.json")
+    catalog.write(rows.limit(1), f"file://{tmp_path}/c.json")
+    assert catalog.read(spark, f"file://{tmp_path}/c.json").count() == 1
