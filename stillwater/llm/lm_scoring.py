@@ -3,23 +3,26 @@
 Every context word has a restaurant whose customers are the words seen after it;
 all context restaurants share one parent over single words, which shares a
 uniform base over the V known words and the unknown one.  The state is the
-number of tables that each dish has in each restaurant.  Seatings are resampled
-dish by dish: all customers of a dish leave and sit down again one by one by the
-Chinese-restaurant rule, corrected by a Metropolis step (``seat``); predictive
-probabilities use the mean over the samples after burn-in.  The other dishes'
-tables are those of the last exchange, so shards sample side by side.
+number of tables that each dish has in each restaurant.  A Gibbs sweep alternates
+the two levels: given the parent's tables every dish of every context is seated
+anew, its customers sitting down one by one by the Chinese-restaurant rule,
+corrected by Metropolis steps (``seat``); the tables so drawn are the parent's
+customers, whose own tables are drawn next; the other dishes' tables are those of
+the sweep before, so shards sample side by side.  After burn-in every sweep gives
+a predictive probability of each pair, and the mean of these probabilities is the
+model's.
 
-Data flow, with nothing but one number per shard on the driver:
+Data flow, with nothing but a few numbers per shard on the driver:
 
 1. *chunks*: a task turns its documents into (context, word) pairs, sorts them
    and writes one file with a segment per shard; a pair's shard is its hash, so
    a frequent context or word is spread over all shards;
-2. *shards* add up the pairs of all chunks and send, for each word they hold, its
+2. *shards* add up the pairs of all chunks, keep those with several customers
+   (one customer is one table for good) and send, for each word they hold, its
    counts and tables to the word's owner (*words*), which replies with the sums;
-3. shards sample seatings, words sample the parent's; this exchange is done once
-   before and once after sampling;
-4. shards answer each chunk with the probabilities of its pairs, and the chunk's
-   task adds them up by document.
+3. each sweep reads only what was kept: shards draw, words draw, words reply;
+4. shards answer each chunk with the mean probabilities of its pairs, and the
+   chunk's task adds them up by document.
 
 Files lie in the shared folder under names unique to the task attempt, and only
 files named by Spark's committed manifests are read.  Words are 64-bit hashes.
@@ -43,8 +46,9 @@ from .records import open_folder
 CHUNK_BYTES, SHARD_BYTES = 14 << 20, 12 << 20
 END = np.uint64(0x243F6A8885A308D3)
 STRENGTH = 1.0
-BURN_IN, SAMPLES = 1, 4
-#: Customers seated one by one; of larger dishes the waits between new tables are drawn instead.
+#: Sweeps before the first that counts, sweeps that count, and Metropolis steps of a dish in a sweep.
+BURN_IN, SAMPLES, MOVES = 2, 4, 2
+#: Customers seated one by one; after so many the waits between new tables are drawn instead.
 ONE_BY_ONE = 32
 
 
@@ -58,7 +62,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         parts.append(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)))
         parts.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -208,8 +212,13 @@ def received(paths: list[str], r: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*(read_segment(p, r) for p in paths))]
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For arguments of at least eight, to ten digits."""
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
 def seat(c: np.ndarray, w: np.ndarray, d: float, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of dishes with ``c`` customers where a new table weighs ``w``, and the proposal's log weight."""
+    """Tables of dishes with ``c`` customers where a new table weighs ``w``, and the log weight of the seating drawn."""
     t, weight = np.ones(len(c)), np.zeros(len(c))
     live = np.flatnonzero(c > 1)
     for k in range(1, ONE_BY_ONE):
@@ -226,44 +235,48 @@ def seat(c: np.ndarray, w: np.ndarray, d: float, rng) -> tuple[np.ndarray, np.nd
         held = d * t[live]
         with np.errstate(over="ignore"):
             wait = held + (at - held) * rng.random(len(live)) ** (-1 / w[live])
-        at = np.maximum(wait, at + 1)
-        more = at <= c[live]
-        live, at = live[more], at[more]
+        to = np.minimum(np.maximum(np.ceil(wait), at + 1), c[live])
+        more = wait <= c[live]
+        weight[live] += log_gamma(to + w[live] - held) - log_gamma(at + w[live] - held)
+        live, at = live[more], to[more]
         t[live] += 1
     return t, weight
 
 
-def sampled_tables(c: np.ndarray, w: np.ndarray, d: float, rng) -> np.ndarray:
-    """Mean number of tables over the samples after burn-in."""
+def drawn_tables(c: np.ndarray, w: np.ndarray, d: float, rng) -> np.ndarray:
+    """One draw of the number of tables of each dish, after a few Metropolis steps over seatings."""
     t, weight = seat(c, w, d, rng)
-    total = np.zeros(len(c))
-    for sweep in range(BURN_IN + SAMPLES):
+    for _ in range(MOVES):
         t2, weight2 = seat(c, w, d, rng)
-        take = (c > ONE_BY_ONE) | (np.log(rng.random(len(c)) + 1e-300) < weight2 - weight)
+        take = np.log(rng.random(len(c)) + 1e-300) < weight2 - weight
         t, weight = np.where(take, t2, t), np.where(take, weight2, weight)
-        if sweep >= BURN_IN:
-            total += t
-    return total / SAMPLES
+    return t
 
 
 def discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(ones + 2 * twos, 1), 0.05, 0.95))
 
 
-def _counter(chunks: list[str], folder: str, shards: int):
-    """First exchange: every pair has one table."""
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(x).astype(np.uint32) if len(x) == 0 or x.max() < 1 << 32 else np.rint(x).astype(np.uint64)
+
+
+def _counter(chunks: list[str], folder: str, kept: str, shards: int):
+    """First exchange, every pair with one table; keeps the pairs with several customers for the sweeps."""
     def run(batches):
         for batch in batches:
             for r in batch.column(0).to_pylist():
                 s = Shard(chunks, r)
-                one = (s.c > 0).astype(np.float64)
-                path = send(folder, s.words, [s.sums(s.v, s.c), s.sums(s.u, one), s.sums(s.v, one)], shards)
-                yield pa.RecordBatch.from_pylist([{"part": r, "path": path, "a": float((s.c == 1).sum()), "b": float((s.c == 2).sum()), "c": 0.0, "d": 0.0, "e": 0.0, "f": 0.0}])
+                one, many = (s.c > 0).astype(np.float64), np.flatnonzero(s.c > 1)
+                path = send(folder, s.words, [_whole(s.sums(s.v, s.c)), _whole(s.sums(s.u, one)), _whole(s.sums(s.v, one))], shards)
+                single = (s.c == 1).astype(np.float64)
+                state = write_segments(kept, [pack(steps(s.words), s.u[many].astype(np.uint32), s.v[many].astype(np.uint32), _whole(s.c[many]), _whole(s.sums(s.u, single)), _whole(s.sums(s.v, single)))])
+                yield pa.RecordBatch.from_pylist([{"part": r, "path": f"{path}|{state}", "a": float((s.c == 1).sum()), "b": float((s.c == 2).sum()), "c": 0.0, "d": 0.0, "e": 0.0, "f": 0.0}])
 
     return run
 
 
-def _word_owner(requests: list[str], folder: str, seed: int):
+def _word_owner(requests: list[str], folder: str, seed: int, d: float | None = None):
     """Sum what the shards sent, seat the parent's customers, reply."""
     def run(batches):
         for batch in batches:
@@ -273,11 +286,11 @@ def _word_owner(requests: list[str], folder: str, seed: int):
                 words, at = np.unique(np.concatenate(each), return_inverse=True)
                 sums = [np.bincount(at, np.concatenate([x[k] for x in sent]), len(words)) for k in range(1, len(sent[0]))]
                 n = np.rint(sums[-1]).astype(np.int64)
-                d = discount((n == 1).sum(), (n == 2).sum())
-                tables = np.where(n > 0, sampled_tables(n, np.full(len(n), d), d, np.random.default_rng((seed, q))), 0)
+                own = discount((n == 1).sum(), (n == 2).sum()) if d is None else d
+                tables = np.where(n > 0, drawn_tables(n, np.full(len(n), own), own, np.random.default_rng((seed, q))), 0)
                 sums.append(tables)
                 cut = np.cumsum([0] + [len(x) for x in each])
-                path = write_segments(folder, [pack(*(x[at[a:b]].astype(np.float64) for x in sums)) for a, b in zip(cut[:-1], cut[1:])])
+                path = write_segments(folder, [pack(*(_whole(x[at[a:b]]) for x in sums)) for a, b in zip(cut[:-1], cut[1:])])
                 c = sums[0] if len(sums) == 4 else np.zeros(0)
                 yield pa.RecordBatch.from_pylist([{"part": q, "path": path, "a": float(c.sum()), "b": float((c > 0).sum()), "c": float(sums[-2].sum()), "d": float(tables.sum()), "e": float((n == 1).sum()), "f": float((n == 2).sum())}])
 
@@ -289,20 +302,24 @@ def parent(n: np.ndarray, tables: np.ndarray, total: float, total_tables: float,
     return (np.maximum(n - d * tables, 0) + (STRENGTH + d * total_tables) / (known + 1)) / (STRENGTH + total)
 
 
-def _sampler(chunks: list[str], replies: list[str], folder: str, shards: int, m: dict, seed: int):
-    """Sample the tables of the pairs with several customers; second exchange."""
+def predictive(c, t, c_u, t_u, base, d: float):
+    """Probability of a word after a context: its own customers and tables there, the context's, and the parent's probability."""
+    room = STRENGTH + c_u
+    return np.maximum(c - d * t, 0) / room + (STRENGTH + d * t_u) / room * base
+
+
+def _sampler(kept: list[str], replies: list[str], folder: str, drawn: str, shards: int, m: dict, seed: int):
+    """Draw the tables of the pairs with several customers; the sums go to the words' owners."""
     def run(batches):
         for batch in batches:
             for r in batch.column(0).to_pylist():
-                s = Shard(chunks, r)
-                _, t_u, n_v, t_v = received(replies, r)
+                words, u, v, c, ones_u, ones_v = read_segment(kept[r], 0)
+                words = np.cumsum(words, dtype=np.uint64)
+                t_u, n_v, t_v = (x.astype(np.float64) for x in received(replies, r)[-3:])
                 base = parent(n_v, t_v, m["n"], m["t"], m["V"], m["d1"])
-                t = (s.c > 0).astype(np.float64)
-                many = np.flatnonzero(s.c > 1)
-                w = (STRENGTH + m["d"] * t_u[s.u[many]]) * base[s.v[many]]
-                t[many] = sampled_tables(s.c[many], w, m["d"], np.random.default_rng((seed, r)))
-                path = send(folder, s.words, [s.sums(s.u, t), s.sums(s.v, t)], shards)
-                state = write_segments(folder, [pack(t[many].astype(np.float32))])
+                t = drawn_tables(c.astype(np.int64), (STRENGTH + m["d"] * t_u[u]) * base[v], m["d"], np.random.default_rng((seed, r)))
+                sums = [_whole(np.bincount(k, t, len(words)) + ones) for k, ones in ((u, ones_u), (v, ones_v))]
+                path, state = send(folder, words, sums, shards), write_segments(drawn, [pack(_whole(t))])
                 yield pa.RecordBatch.from_pylist([{"part": r, "path": f"{path}|{state}", "a": 0.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": 0.0, "f": 0.0}])
 
     return run
@@ -311,20 +328,21 @@ def _sampler(chunks: list[str], replies: list[str], folder: str, shards: int, m:
 # ------------------------------------------------------------------ 4: scores
 
 
-def _scorer(chunks: list[str], states: list[str], counts: list[str], replies: list[str], m: dict):
-    """Answer every chunk: log10 probability of each of its pairs, and the count of each of its words."""
+def _scorer(chunks: list[str], counts: list[str], samples: list[tuple[list[str], list[str], dict]]):
+    """Answer every chunk: log10 of the mean probability of each of its pairs over the samples, and the count of each of its words."""
     def run(batches):
         for batch in batches:
             for r in batch.column(0).to_pylist():
                 s = Shard(chunks, r)
                 c_word = received(counts, r)[0].astype(np.float64)
-                t_u, n_v, t_v = (x.astype(np.float64) for x in received(replies, r))
-                t = (s.c > 0).astype(np.float64)
-                t[s.c > 1] = read_segment(states[r], 0)[0]
-                base = parent(n_v, t_v, m["n"], m["t"], m["V"], m["d1"])
-                room = STRENGTH + c_word[s.u]
-                p = np.maximum(s.c - m["d"] * t, 0) / room + (STRENGTH + m["d"] * t_u[s.u]) / room * base[s.v]
-                score, of_pair = np.log10(p).astype(np.float32), c_word[s.v].astype(np.uint64)
+                many, p = np.flatnonzero(s.c > 1), np.zeros(len(s.c))
+                for states, replies, m in samples:
+                    t_u, n_v, t_v = (x.astype(np.float64) for x in received(replies, r))
+                    t = (s.c > 0).astype(np.float64)
+                    t[many] = read_segment(states[r], 0)[0]
+                    base = parent(n_v, t_v, m["n"], m["t"], m["V"], m["d1"])
+                    p += predictive(s.c, t, c_word[s.u], t_u[s.u], base[s.v], m["d"])
+                score, of_pair = np.log10(p / len(samples)).astype(np.float32), _whole(c_word[s.v])
                 for k in range(len(chunks)):
                     pair = s.pair[s.cuts[k] : s.cuts[k + 1]]
                     answer = pack(score[pair], of_pair[pair])
@@ -400,18 +418,28 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
         )
     paths = [p for p, _ in chunks]
     asked = scratch.path("counts")
-    sent = parts(_counter(paths, asked, shards), "counted")
-    first = parts(_word_owner([p.path for p in sent], scratch.path("replies"), seed), "owned")
+    sent = parts(_counter(paths, asked, scratch.path("kept"), shards), "counted")
+    kept = [p.path.split("|")[1] for p in sent]
+    first = parts(_word_owner([p.path.split("|")[0] for p in sent], scratch.path("replies"), seed), "owned")
     m = {"N": sum(p.a for p in first), "V": sum(p.b for p in first), "n": sum(p.c for p in first), "t": sum(p.d for p in first)}
     m["d"] = discount(sum(p.a for p in sent), sum(p.b for p in sent))
     m["d1"] = discount(sum(p.e for p in first), sum(p.f for p in first))
     remove_path(spark, asked)
     counts = [p.path for p in first]
-    drawn = parts(_sampler(paths, counts, scratch.path("samples"), shards, m, seed), "sampled")
-    second = parts(_word_owner([p.path.split("|")[0] for p in drawn], scratch.path("replies"), seed + 1), "owned")
-    m |= {"n": sum(p.c for p in second), "t": sum(p.d for p in second)}
-    states, replies = [p.path.split("|")[1] for p in drawn], [p.path for p in second]
-    answers = spark.range(0, shards, 1, shards).mapInArrow(_scorer(paths, states, counts, replies, m), "chunk long, shard long, answer binary")
+    replies, samples, left = counts, [], []
+    for sweep in range(BURN_IN + SAMPLES):
+        asked, states, answers = (scratch.path(x) for x in ("asked", "tables", "replies"))
+        drawn = parts(_sampler(kept, replies, asked, states, shards, m, seed + 2 * sweep + 1), "drawn")
+        second = parts(_word_owner([p.path.split("|")[0] for p in drawn], answers, seed + 2 * sweep + 2, m["d1"]), "owned")
+        remove_path(spark, asked)
+        for path in left:  # nothing reads the sweep before any more
+            remove_path(spark, path)
+        m = m | {"n": sum(p.c for p in second), "t": sum(p.d for p in second)}
+        replies = [p.path for p in second]
+        left = [] if sweep >= BURN_IN else [states, answers]
+        if sweep >= BURN_IN:
+            samples.append(([p.path.split("|")[1] for p in drawn], replies, m))
+    answers = spark.range(0, shards, 1, shards).mapInArrow(_scorer(paths, counts, samples), "chunk long, shard long, answer binary")
     n = min(len(paths), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = answers.repartition(n, "chunk").sortWithinPartitions("chunk", "shard")
     return dealt.mapInArrow(_finisher(paths, shards, m), _OUT).withColumnRenamed("id", id_col)

@@ -502,20 +502,95 @@ def test_language_model_learns_contexts(spark):
     assert sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
 
 
-def test_seating_follows_the_chinese_restaurant():
+def stirling(c, d):
+    """Generalised Stirling numbers: seatings of c customers at t tables, by recursion."""
+    row = [0.0, 1.0]
+    for k in range(1, c):
+        row = [0.0] + [(row[t] * (k - d * t) if t < len(row) else 0.0) + row[t - 1] for t in range(1, k + 2)]
+    return row
+
+
+@pytest.mark.parametrize("c, w, d", [(3, 0.7, 0.4), (12, 0.3, 0.6), (30, 2.0, 0.3), (80, 0.5, 0.5)])
+def test_drawn_tables_follow_the_posterior(c, w, d, monkeypatch):
+    """Against the exact distribution, weight w ** t times the generalised Stirling number; beyond 32 customers by waits."""
     import numpy as np
 
+    monkeypatch.setattr(lm_scoring, "MOVES", 12)
     rng = np.random.default_rng(0)
-    # three customers, by enumeration: weights of 1, 2, 3 tables are w(1-d)(2-d), 3 w^2 (1-d), w^3
-    w, d = 0.7, 0.4
-    p = np.array([w * (1 - d) * (2 - d), 3 * w * w * (1 - d), w**3])
-    mean = (p / p.sum()) @ [1, 2, 3]
-    got = lm_scoring.sampled_tables(np.full(20000, 3), np.full(20000, w), d, rng).mean()
-    assert abs(got - mean) < 0.02
+    p = np.array([w**t * x for t, x in enumerate(stirling(c, d))])
+    p /= p.sum()
+    got = lm_scoring.drawn_tables(np.full(20000, c), np.full(20000, w), d, rng)
+    mean = p @ np.arange(len(p))
+    assert abs(got.mean() - mean) < (0.05 if c > lm_scoring.ONE_BY_ONE else 0.03) * mean
+    assert abs((got == 1).mean() - p[1]) < 0.03
     large, _ = lm_scoring.seat(np.array([10**6]), np.array([2.0]), 0.5, rng)
     assert 5 < large[0] < 80
 
 
+def test_probabilities_of_a_context_add_to_one():
+    """Over the known words and the unknown one, in the parent and in a context."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, d = rng.integers(1, 9, 50), 0.6
+    tables = np.minimum(n, rng.integers(1, 4, 50))
+    known = lm_scoring.parent(np.append(n, 0), np.append(tables, 0), n.sum(), tables.sum(), 50, d)
+    assert abs(known.sum() - 1) < 1e-9
+    c = rng.integers(0, 6, 51) * (np.arange(51) < 50)
+    t = np.minimum(c, 2)
+    p = lm_scoring.predictive(c, t, c.sum(), t.sum(), known, 0.4)
+    assert abs(p.sum() - 1) < 1e-9
+
+
+def test_scores_equal_a_sampler_in_one_place(spark):
+    """The mean predictive probability of long chains run here, over dictionaries, pair by pair and customer by customer."""
+    import math
+
+    texts = ["a b a b a c", "a b b c a b", "c a b a", "b a c c a b a"] * 3
+    rows = list(enumerate(texts))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    train = [t.split() + [None] for (_, t), h in zip(rows, held) if not h]
+    pairs, count = Counter(), Counter()
+    for w in train:
+        for u, v in zip([None, *w[:-1]], w):
+            pairs[u, v] += 1
+            count[v] += 1
+    n_u = Counter()
+    for (u, _), c in pairs.items():
+        n_u[u] += c
+    discount = lambda ones, twos: min(0.95, max(0.05, ones / max(ones + 2 * twos, 1)))
+    d = discount(sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values()))
+    first = Counter(v for _, v in pairs)
+    d1 = discount(sum(c == 1 for c in first.values()), sum(c == 2 for c in first.values()))
+    rng, size = random.Random(5), len(count)
+
+    def draw(c, w, disc):
+        p = [w**t * x for t, x in enumerate(stirling(c, disc))]
+        return rng.choices(range(len(p)), p)[0]
+
+    t, tv, total, sweeps = {k: 1 for k in pairs}, {v: 1 for v in first}, Counter(), 1500
+    for sweep in range(sweeps + 50):
+        def both():
+            tu, nv = Counter(), Counter()
+            for (u, v), x in t.items():
+                tu[u] += x
+                nv[v] += x
+            base = {v: (max(nv[v] - d1 * tv.get(v, 0), 0) + (1 + d1 * sum(tv.values())) / (size + 1)) / (1 + sum(nv.values())) for v in count}
+            return tu, nv, base
+        tu, nv, base = both()
+        t = {(u, v): draw(c, (1 + d * tu[u]) * base[v], d) for (u, v), c in pairs.items()}
+        tu, nv, _ = both()
+        tv = {v: draw(nv[v], d1, d1) for v in nv}
+        tu, nv, base = both()
+        if sweep >= 50:
+            for u in n_u:
+                for v in count:
+                    total[u, v] += max(pairs[u, v] - d * t.get((u, v), 0), 0) / (1 + n_u[u]) + (1 + d * tu[u]) / (1 + n_u[u]) * base[v]
+    want = {i: sum(math.log10(total[u, v] / sweeps) for u, v in zip([None, *w[:-1]], w)) for i, w in ((i, t_.split() + [None]) for i, t_ in rows)}
+    got = {r.doc_id: r.score for r in lm_scoring.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(abs(got[i] - want[i]) < 0.05 * abs(want[i]) for i in want), [(got[i], want[i]) for i in want][:4]
+
+
 # ---------------------------------------------------------------- licenses
 
 
