@@ -4,11 +4,11 @@ Every context word has a restaurant whose customers are the words seen after it;
 all context restaurants share one parent over single words, which shares a
 uniform base over the V known words and the unknown one.  The state is the
 number of tables that each dish has in each restaurant.  A Gibbs sweep alternates
-the two levels: given the parent's tables every dish of every context is seated
-anew, its customers sitting down one by one by the Chinese-restaurant rule,
-corrected by Metropolis steps (``seat``); the tables so drawn are the parent's
-customers, whose own tables are drawn next; the other dishes' tables are those of
-the sweep before, so shards sample side by side.  After burn-in every sweep gives
+the two levels: given the parent's tables all customers of every dish of every
+context leave and sit down anew by the Chinese-restaurant rule, and the number of
+their tables is drawn from its conditional distribution (``drawn_tables``); the
+tables so drawn are the parent's customers, whose own tables are drawn next; the
+other dishes' tables are those of the sweep before, so shards sample side by side.  After burn-in every sweep gives
 a predictive probability of each pair, and the mean of these probabilities is the
 model's.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,10 @@ from .records import open_folder
 CHUNK_BYTES, SHARD_BYTES = 14 << 20, 12 << 20
 END = np.uint64(0x243F6A8885A308D3)
 STRENGTH = 1.0
-#: Sweeps before the first that counts, sweeps that count, and Metropolis steps of a dish in a sweep.
-BURN_IN, SAMPLES, MOVES = 2, 4, 2
-#: Customers seated one by one; after so many the waits between new tables are drawn instead.
-ONE_BY_ONE = 32
+#: Sweeps before the first that counts, and sweeps that count.
+BURN_IN, SAMPLES = 3, 3
+#: Customers of a dish up to which its number of tables is drawn exactly.
+EXACT = 512
 
 
 # ------------------------------------------------------------------ files of segments
@@ -212,44 +213,52 @@ def received(paths: list[str], r: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*(read_segment(p, r) for p in paths))]
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """For arguments of at least eight, to ten digits."""
-    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-
-
-def seat(c: np.ndarray, w: np.ndarray, d: float, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of dishes with ``c`` customers where a new table weighs ``w``, and the log weight of the seating drawn."""
-    t, weight = np.ones(len(c)), np.zeros(len(c))
-    live = np.flatnonzero(c > 1)
-    for k in range(1, ONE_BY_ONE):
-        live = live[c[live] > k]
-        if not len(live):
-            return t, weight
-        total = w[live] + k - d * t[live]
-        weight[live] += np.log(total)
-        t[live] += rng.random(len(live)) * total < w[live]
-    live = live[c[live] > ONE_BY_ONE]
-    at = np.full(len(live), float(ONE_BY_ONE))
-    while len(live):
-        # no new table between customers a and b has probability ((a - d t) / (b - d t)) ** w
-        held = d * t[live]
-        with np.errstate(over="ignore"):
-            wait = held + (at - held) * rng.random(len(live)) ** (-1 / w[live])
-        to = np.minimum(np.maximum(np.ceil(wait), at + 1), c[live])
-        more = wait <= c[live]
-        weight[live] += log_gamma(to + w[live] - held) - log_gamma(at + w[live] - held)
-        live, at = live[more], to[more]
-        t[live] += 1
-    return t, weight
+@lru_cache(maxsize=4)
+def log_stirling(d: float, n: int = 512) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: weight of all seatings of c customers (row) at t tables (column)."""
+    out = np.full((n + 1, n + 2), -np.inf)
+    out[1, 1] = 0
+    t = np.arange(n + 2)
+    for k in range(1, n):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where((t >= 1) & (t <= k), out[k] + np.log(np.maximum(k - d * t, 1e-300)), -np.inf)
+        out[k + 1, 1:] = np.logaddexp(stay[1:], out[k, :-1])
+    return out
 
 
 def drawn_tables(c: np.ndarray, w: np.ndarray, d: float, rng) -> np.ndarray:
-    """One draw of the number of tables of each dish, after a few Metropolis steps over seatings."""
-    t, weight = seat(c, w, d, rng)
-    for _ in range(MOVES):
-        t2, weight2 = seat(c, w, d, rng)
-        take = np.log(rng.random(len(c)) + 1e-300) < weight2 - weight
-        t, weight = np.where(take, t2, t), np.where(take, weight2, weight)
+    """Tables of dishes whose ``c`` customers all sit down anew, where a new table weighs ``w``.
+
+    Seatings of c customers at t tables weigh ``w ** t`` times the generalised
+    Stirling number, so up to ``EXACT`` customers the number is drawn from its
+    conditional distribution.  Beyond, from the saddle point of that
+    distribution's generating function exp(w / d (1 - (1 - x) ** d)).
+    """
+    table, t = log_stirling(d), np.ones(len(c))
+    order = np.argsort(c, kind="stable")
+    sizes, first = np.unique(c[order], return_index=True)
+    for size, a, b in zip(sizes.tolist(), first, np.append(first[1:], len(c))):
+        if not 1 < size <= EXACT:
+            continue
+        step = max(1, (1 << 20) // size)
+        for lo in range(a, b, step):
+            rows = order[lo : min(lo + step, b)]
+            p = np.log(w[rows])[:, None] * np.arange(1, size + 1) + table[size, 1 : size + 1]
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            t[rows] = 1 + (p < (rng.random(len(rows)) * p[:, -1])[:, None]).sum(axis=1)
+    large = np.flatnonzero(c > EXACT)
+    if len(large):
+        n, v = c[large].astype(np.float64), w[large]
+        low, high = np.full(len(n), -700.0), np.zeros(len(n))  # logarithm of 1 - x, where v x (1 - x) ** (d - 1) = n
+        for _ in range(60):
+            y = (low + high) / 2
+            beyond = np.log(v) + np.log(-np.expm1(y)) + (d - 1) * y > np.log(n)
+            low, high = np.where(beyond, y, low), np.where(beyond, high, y)
+        x = -np.expm1(high)
+        mean = v / d * -np.expm1(d * high)
+        spread = np.maximum(mean - n * n / (n + v * (1 - d) * x * x * np.exp((d - 2) * high)), 0)
+        drawn = np.where(mean < 50, rng.poisson(np.minimum(mean, 50)), np.rint(mean + np.sqrt(spread) * rng.normal(size=len(n))))
+        t[large] = np.clip(1 + drawn, 1, n)
     return t
 
 
@@ -276,7 +285,7 @@ def _counter(chunks: list[str], folder: str, kept: str, shards: int):
     return run
 
 
-def _word_owner(requests: list[str], folder: str, seed: int, d: float | None = None):
+def _word_owner(requests: list[str], folder: str, seed: int, m: dict | None = None):
     """Sum what the shards sent, seat the parent's customers, reply."""
     def run(batches):
         for batch in batches:
@@ -286,8 +295,9 @@ def _word_owner(requests: list[str], folder: str, seed: int, d: float | None = N
                 words, at = np.unique(np.concatenate(each), return_inverse=True)
                 sums = [np.bincount(at, np.concatenate([x[k] for x in sent]), len(words)) for k in range(1, len(sent[0]))]
                 n = np.rint(sums[-1]).astype(np.int64)
-                own = discount((n == 1).sum(), (n == 2).sum()) if d is None else d
-                tables = np.where(n > 0, drawn_tables(n, np.full(len(n), own), own, np.random.default_rng((seed, q))), 0)
+                own = discount((n == 1).sum(), (n == 2).sum()) if m is None else m["d1"]
+                new = own if m is None else (STRENGTH + own * m["t"]) / (m["V"] + 1)
+                tables = np.where(n > 0, drawn_tables(n, np.full(len(n), new), own, np.random.default_rng((seed, q))), 0)
                 sums.append(tables)
                 cut = np.cumsum([0] + [len(x) for x in each])
                 path = write_segments(folder, [pack(*(_whole(x[at[a:b]]) for x in sums)) for a, b in zip(cut[:-1], cut[1:])])
@@ -328,6 +338,11 @@ def _sampler(kept: list[str], replies: list[str], folder: str, drawn: str, shard
 # ------------------------------------------------------------------ 4: scores
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To 16 significant bits, so that the last byte of each answer takes no room."""
+    return ((x.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
 def _scorer(chunks: list[str], counts: list[str], samples: list[tuple[list[str], list[str], dict]]):
     """Answer every chunk: log10 of the mean probability of each of its pairs over the samples, and the count of each of its words."""
     def run(batches):
@@ -342,7 +357,7 @@ def _scorer(chunks: list[str], counts: list[str], samples: list[tuple[list[str],
                     t[many] = read_segment(states[r], 0)[0]
                     base = parent(n_v, t_v, m["n"], m["t"], m["V"], m["d1"])
                     p += predictive(s.c, t, c_word[s.u], t_u[s.u], base[s.v], m["d"])
-                score, of_pair = np.log10(p / len(samples)).astype(np.float32), _whole(c_word[s.v])
+                score, of_pair = rounded(np.log10(p / len(samples))), _whole(c_word[s.v])
                 for k in range(len(chunks)):
                     pair = s.pair[s.cuts[k] : s.cuts[k + 1]]
                     answer = pack(score[pair], of_pair[pair])
@@ -430,7 +445,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     for sweep in range(BURN_IN + SAMPLES):
         asked, states, answers = (scratch.path(x) for x in ("asked", "tables", "replies"))
         drawn = parts(_sampler(kept, replies, asked, states, shards, m, seed + 2 * sweep + 1), "drawn")
-        second = parts(_word_owner([p.path.split("|")[0] for p in drawn], answers, seed + 2 * sweep + 2, m["d1"]), "owned")
+        second = parts(_word_owner([p.path.split("|")[0] for p in drawn], answers, seed + 2 * sweep + 2, m), "owned")
         remove_path(spark, asked)
         for path in left:  # nothing reads the sweep before any more
             remove_path(spark, path)
@@ -439,6 +454,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
         left = [] if sweep >= BURN_IN else [states, answers]
         if sweep >= BURN_IN:
             samples.append(([p.path.split("|")[1] for p in drawn], replies, m))
+    remove_path(spark, kept[0].rsplit("/", 1)[0])
     answers = spark.range(0, shards, 1, shards).mapInArrow(_scorer(paths, counts, samples), "chunk long, shard long, answer binary")
     n = min(len(paths), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = answers.repartition(n, "chunk").sortWithinPartitions("chunk", "shard")
