@@ -16,9 +16,10 @@ alone.  All but the last return rows with the columns of ``documents``:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stillwater.llm import queries
-from stillwater.llm.common import Scratch
+from stillwater.llm.common import Scratch, fits_broadcast
 from stillwater.llm.decontaminate import without_contaminated
 from stillwater.llm.minhash import near_duplicates
 from stillwater.llm.packing import pack_documents
@@ -26,14 +27,24 @@ from stillwater.llm.quality import quality_filter
 from stillwater.llm.suffix_dedup import without_repeats
 
 
+#: Ids of dropped documents up to which they are broadcast: some 16 MB.
+BROADCAST_IDS = 1_000_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay: nothing names the row that would replace them."""
+    """Rows without an id stay: nothing names the row that would replace them.  Rows of one id go together.
+
+    The ids that go are written and counted: few are broadcast, so that no text is
+    shuffled; many are joined by shuffle.
+    """
     dropped = near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = Scratch(spark, "dropped").save(dropped, "ids")
+    side = F.broadcast(dropped) if fits_broadcast(dropped, BROADCAST_IDS) else dropped
+    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
