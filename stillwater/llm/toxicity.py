@@ -44,7 +44,9 @@ GRAM, LEAST_SHARE, LEAST_RATIO = 8, 0.01, 25
 FOLDS = 3
 LEVEL = 12
 #: Leads every window and ends both dictionaries, so that a block is always compressed and lengths move byte by byte.
-LEAD = b"0123456789abcdefghijklmnopqrstuvwxyz!#ABCDEFGHIJKLMNOPQRSTUVWXYZ+-=_"
+LEAD = b"0123456789#ABCDEFGHIJ+_-"
+#: Bytes that a window must share with the toxic dictionary to be compressed at all.
+SHARED = 5
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,19 +54,28 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def windows(words: list[bytes], width: int) -> list[bytes]:
-    return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(0, len(words), width)]
+def _codes(raw: np.ndarray) -> np.ndarray:
+    """A 20-bit hash of the ``SHARED`` bytes from each place on."""
+    n = max(0, len(raw) - SHARED + 1)
+    code = np.zeros(n, np.uint64)
+    for j in range(SHARED):
+        code = (code << np.uint64(8)) | raw[j : j + n]
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
 class CompressionDistance:
-    """Window distances under the two sides' dictionaries."""
+    """Window distances under the two sides' dictionaries.
+
+    A window that shares no ``SHARED`` bytes with the toxic dictionary cannot be
+    shortened by it; its distance is 0 and it is not compressed.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.contents = (ordinary + LEAD, ordinary + toxic + LEAD)
+        self.toxic, self.contents = toxic, (ordinary + LEAD, ordinary + toxic + LEAD)
         self._ready = None
 
     def __getstate__(self):
-        return {"contents": self.contents, "_ready": None}
+        return {"toxic": self.toxic, "contents": self.contents, "_ready": None}
 
     def _compressors(self):
         if self._ready is None:
@@ -73,18 +84,33 @@ class CompressionDistance:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
                 made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-            self._ready = made
+            shared = np.zeros(1 << 20, bool)
+            shared[_codes(np.frombuffer(self.toxic, np.uint8))] = True
+            self._ready = (*made, shared)
         return self._ready
 
-    def distances(self, words: list[bytes], width: int) -> np.ndarray:
-        ordinary, toxic = self._compressors()
-        return np.array([len(ordinary(LEAD + w)) - len(toxic(LEAD + w)) for w in windows(words, width)], np.int64)
+    def distances(self, words: list[bytes]) -> list[np.ndarray]:
+        """By width, the distance of each window of so many words."""
+        ordinary, toxic, shared = self._compressors()
+        text = b" " + b" ".join(words) + b" "
+        edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])  # the spaces around words
+        hits = np.concatenate([[0], np.cumsum(shared[_codes(np.frombuffer(text, np.uint8))])])
+        out = []
+        for width in WIDTHS:
+            start = edge[:-1][::width]
+            end = np.append(start[1:], edge[-1]) + 1
+            last = np.clip(end - SHARED + 1, start, len(hits) - 1)
+            d = np.zeros(len(start), np.int64)
+            for k in np.flatnonzero(hits[last] > hits[np.minimum(start, len(hits) - 1)]).tolist():
+                window = LEAD + text[start[k] : end[k]]
+                d[k] = len(ordinary(window)) - len(toxic(window))
+            out.append(d)
+        return out
 
     def features(self, text: str | None) -> np.ndarray:
         """By width: windows beyond each threshold (log and share), greatest and mean distance, log of the number of windows."""
         words, out = words_of(text), []
-        for width in WIDTHS:
-            d = self.distances(words, width) if words else np.zeros(1, np.int64)
+        for d in self.distances(words) if words else [np.zeros(1, np.int64)] * len(WIDTHS):
             beyond = np.array([(d >= t).sum() for t in THRESHOLDS])
             out += [*np.log1p(beyond), *(10 * beyond / len(d)), max(d.max(), 0), d.mean(), np.log(len(d))]
         return np.array(out)
