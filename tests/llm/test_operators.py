@@ -709,3 +709,57 @@ def test_special_strings_are_special_tokens(spark):
     docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
     row = records.token_records(docs, path).first()
     assert row.n_tokens == 4 and row.ids_crc32 == crc([64, 50256, 65, 0])
+
+
+# ---------------------------------------------------------------- plain forms of the aligner and the network
+
+
+def aligned(template, words):
+    """Best local alignment over the whole matrix: score and words matched."""
+    best, above = (0, 0), [(0, 0)] * (len(words) + 1)
+    for t in template:
+        row = [(0, 0)]
+        for j, w in enumerate(words):
+            s, m = above[j]
+            row.append(max((0, 0), (s + (2 if t == w else -1), m + (t == w)), (above[j + 1][0] - 1, above[j + 1][1]), (row[j][0] - 1, row[j][1]), key=lambda c: c[0]))
+        above, best = row, max(best, *row, key=lambda c: c[0])
+    return best
+
+
+def test_banded_alignment_equals_the_full_matrix():
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(40):
+        template = [rng.randrange(400) for _ in range(60)]
+        words = list(template)
+        for _ in range(rng.randrange(8)):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind != 0)] = [[9999], [], [9998]][kind]
+        words = [rng.randrange(400, 800) for _ in range(rng.randrange(20))] + words + [rng.randrange(400, 800) for _ in range(5)]
+        whole = np.zeros(60, int), np.full(60, len(words))
+        matched, first, end = licenses.banded(np.array(template), np.array(words), *whole)
+        assert matched == aligned(template, words)[1] and 0 <= first < end <= len(words)
+        # the band along the true diagonals finds the same
+        votes = np.array([(i, j, 1) for i, t in enumerate(template) for j, w in enumerate(words) if t == w and template.count(t) == 1 and words.count(w) == 1])
+        assert licenses.banded(np.array(template), np.array(words), *licenses.along(licenses.chain(votes), 60))[0] == matched
+
+
+def test_network_equals_loops_over_windows():
+    """Filters, pooling and softmax of batched windows against loops over bytes."""
+    import numpy as np
+
+    net = langid.ByteCnn(3, seed=1)
+    net.bias += np.linspace(-0.1, 0.1, len(net.bias), dtype=np.float32)
+    texts = [b"a few plain words", "Ünïcode ünd mehr".encode(), b"x" * (langid.WINDOW + 7), b"q"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    x, doc, used = langid.window_matrix(data, offsets)
+    want_windows = [(k, t[a : a + langid.WINDOW]) for k, t in enumerate(texts) for a in range(0, len(t), langid.WINDOW)]
+    assert [(int(d), int(u)) for d, u in zip(doc, used)] == [(k, len(w)) for k, w in want_windows]
+    got = net.log_probabilities(x)
+    for row, (_, w) in zip(got, want_windows):
+        w = w + b"\0" * (langid.WINDOW - len(w))
+        top = [max(sum(float(f[j, w[p + j], c]) for j in range(len(f))) for p in range(len(w) - len(f) + 1)) for f in net.filters for c in range(f.shape[2])]
+        hidden = np.maximum(np.array(top) + net.bias, 0)
+        z = hidden @ net.out + net.out_bias
+        assert np.allclose(row, z - np.log(np.exp(z).sum()), atol=1e-3)
