@@ -131,8 +131,8 @@ class LoadSpec:
         """Read, encode and publish a snapshot at ``output``; returns its manifest.
 
         ``partitions``, ``version`` and ``compression`` shape it; a descriptor goes
-        into the manifest.  ``index_parallelism`` caps how many buckets of the
-        filters' stage run at once only through the cluster's own settings.
+        into the manifest.  ``index_parallelism`` has no effect: Spark schedules
+        the filters' stage.
         """
         from ..operators import store
 
