@@ -127,6 +127,20 @@ def test_circulant_signature_estimates_jaccard():
     assert abs(same - 750 / 1250) < 0.12
 
 
+def test_linked_signatures_share_a_band_and_most_bits():
+    """Pairs of similarity 0.75 are candidates, and the limit on different bits skips none."""
+    np = __import__("numpy")
+    rings, rng = minhash.Circulant(), np.random.default_rng(5)
+    different = []
+    for _ in range(3000):
+        s = rng.integers(0, 1 << 64, 112, dtype="uint64")
+        a, b = rings.signature(s[:98]), rings.signature(s[14:])
+        assert (rings.bands(a) == rings.bands(b)).any()
+        different.append(int(((a ^ b) & 1).sum()))
+    assert max(different) <= minhash.MAX_DIFFERENT
+    assert abs(np.mean(different) - 30) < 1
+
+
 # ---------------------------------------------------------------- repeated strings
 
 
