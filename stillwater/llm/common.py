@@ -75,6 +75,14 @@ class Scratch:
         out.scratch_path = at
         return out
 
+    def release(self) -> None:
+        """Collect the driver's garbage, for jobs of very many queries.
+
+        The shuffles and broadcasts of tables that are written stay, on the driver, the
+        executors and their disks, until the driver happens to collect.
+        """
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:

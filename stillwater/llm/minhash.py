@@ -243,7 +243,9 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
     pairs = scratch.save(pairs, "pairs", few=True)
     tested = scratch.save(confirm(pairs.select("a", "b").distinct(), docs), "tested")
     hubs = scratch.save(pairs.join(tested.where("linked"), ["a", "b"]).select("rep", "hub").distinct(), "hubs", few=True)
+    scratch.release()
     labels = connected_components(tested.where("linked").select("a", "b"), scratch)
+    scratch.release()
 
     def state_of(labels: DataFrame) -> DataFrame:
         sizes = labels.groupBy("label").agg(F.count("*").alias("lsize"))
@@ -253,11 +255,11 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
     # after this no class links with a component that was large, unless it has joined it
     state = scratch.save(state_of(labels), "state", few=True)
     settled = state.where(F.col("lsize") >= LARGE).select("rep")
-    links = tested.where("linked").select("a", "b")
     more = links_to_large(members, state, docs, scratch)
+    scratch.release()
     if more is not None:
-        links = scratch.save(links.unionByName(more), "links", few=True)
-        labels = connected_components(links, scratch)
+        labels = connected_components(more, scratch, labels)
+        scratch.release()
 
     # classes around one popular class, whether they link with it or not, are compared with each other by blocks too
     around = pairs.select("rep", F.col("hub").alias("big")).unionByName(pairs.select(F.col("hub").alias("rep"), F.col("hub").alias("big"))).distinct()
@@ -265,8 +267,8 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
     full = around.groupBy("big").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE).select("big")
     around = scratch.save(around.join(full, "big", "left_semi"), "around", few=True)
     if not around.isEmpty():
-        links = scratch.save(links.unionByName(compared(around, around, docs, True)), "links")
-        labels = connected_components(links, scratch)
+        labels = connected_components(scratch.save(compared(around, around, docs, True), "links"), scratch, labels)
+        scratch.release()
     own = around.groupBy("rep").agg(F.collect_set("big").alias("groups"))
 
     active, pivots = members.select("key", "rep"), FIRST_PIVOTS
@@ -274,6 +276,7 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
         named = active.join(state_of(labels), "rep").join(settled, "rep", "left_anti").join(own, "rep", "left")
         open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         named = scratch.save(named.join(open_, "key", "left_semi"), "open", few=True)
+        scratch.release()
         if named.isEmpty():
             return labels
         order = Window.partitionBy("key").orderBy(F.desc("lsize"), F.desc("pop"), "rep")
@@ -295,10 +298,10 @@ def linked_classes(members: DataFrame, bits: DataFrame, docs: DataFrame, scratch
             known = found.join(hubs.select(F.col("rep").alias(x), F.col("hub").alias("h")), x, "left")
             found = known.join(apart.select(F.col("a").alias(y), F.col("b").alias("h")), [y, "h"], "left_anti").select("a", "b")
         news = scratch.save(confirm(scratch.save(found, "pairs", few=True), docs), "tested")
+        scratch.release()
         tested = tested.unionByName(news)
         if not news.where("linked").isEmpty():
-            links = links.unionByName(news.where("linked").select("a", "b"))
-            labels = connected_components(links, scratch)
+            labels = connected_components(news.where("linked").select("a", "b"), scratch, labels)
         active = named.select("key", "rep").join(first.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti")
         pivots *= 4
 

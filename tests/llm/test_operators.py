@@ -118,6 +118,49 @@ def test_near_duplicates_of_a_large_group_and_a_common_passage(spark, large, mon
     assert sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows)
 
 
+def test_components_join_known_ones_in_few_queries(spark):
+    """Stars take no round, and edges added in turn give what all give at once."""
+    from stillwater.llm.components import connected_components
+
+    def of(edges, labels=None):
+        scratch = common.Scratch(spark, "components")
+        out = connected_components(spark.createDataFrame(edges, "a long, b long"), scratch, labels)
+        return out, scratch.n
+
+    rng = random.Random(6)
+    labels, written = of([(k, k + 10) for k in range(10)])
+    assert written == 1
+    edges = [(k, k + 10) for k in range(10)]
+    for step in range(4):
+        new = [(rng.randrange(60), rng.randrange(60)) for _ in range(4 * step)] + [(70 + k, 71 + k) for k in range(3 * step)] + [(5, 5), (None, 3)]
+        labels, _ = of(new, labels)
+        edges += [(a, b) for a, b in new if a is not None]
+        parent = {x: x for a, b in edges if a != b for x in (a, b)}
+        for _ in parent:
+            for a, b in edges:
+                if a != b:
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+        assert sorted((r.node, r.label) for r in labels.collect()) == sorted(parent.items())
+
+
+def test_near_duplicates_take_few_jobs(spark):
+    """What the driver holds grows with the queries: these groups took 152 jobs when components began anew each time."""
+    rng, rows = random.Random(8), []
+    for g in range(6):
+        base = words_of(70 + g, 120).split()
+        for k in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                w[rng.randrange(len(w))] = f"e{k}"
+            rows.append((10 * g + k, " ".join(w)))
+    spark.sparkContext.setJobGroup("few jobs", "")
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs"))
+    assert sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows)
+    assert jobs < 146
+
+
 def test_circulant_signature_estimates_jaccard():
     rings, rng = minhash.Circulant(), __import__("numpy").random.default_rng(0)
     a = rng.integers(0, 1 << 64, 1000, dtype="uint64")
