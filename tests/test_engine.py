@@ -447,3 +447,28 @@ def test_catalog_files_refuse_shared_prefixes(spark, tmp_path):
         catalog.write(rows, f"file://{tmp_path}/c.json")
     catalog.write(rows.limit(1), f"file://{tmp_path}/c.json")
     assert catalog.read(spark, f"file://{tmp_path}/c.json").count() == 1
+
+
+def test_assignments_equal_plain_sets_and_shuffle_no_pairs(spark):
+    rng = __import__("random").Random(3)
+    label = lambda: {k: rng.choice("xyz") for k in "ab" if rng.random() < 0.8}
+    n = [(k % 40, label()) for k in range(50)]  # ten nodes have two rows
+    d = [(f"d{k % 60}", label()) for k in range(70)]
+    pick = lambda: rng.choice([None, {}, {"a": "x"}, {"a": "y", "b": "z"}, {"b": "x"}, {"a": None}])
+    b = [(k, rng.choice([{"a": "x"}, {"a": "y", "b": "z"}, {"b": "x"}, {"a": None}]), pick()) for k in range(8)]
+
+    def fits(selector, labels):
+        return not selector or all(v is not None and labels.get(k) == v for k, v in selector.items())
+
+    met = {(x, i) for x, own in n for i, s, _ in b if fits(s, own)}
+    want = sorted({(x, y) for x, i in met for j, _, s in b if i == j for y, own in d if fits(s, own)})
+    bound = {x for x, _ in met}
+    want = sorted(want + [(x, y) for x, _ in n if x not in bound for y, _ in d])
+    assert 0 < len(bound) < 40
+    got = lifecycle.assignments(
+        spark.createDataFrame(n, "node long, labels map<string,string>"), spark.createDataFrame(d, "dataset string, dataset_labels map<string,string>"),
+        spark.createDataFrame(b, "binding long, node_selector map<string,string>, dataset_selector map<string,string>"),
+    )
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not __import__("re").search(r"hashpartitioning\(node#\d+L?, dataset#", plan) and "Cross" not in plan.split("Generate explode(transform(datasets")[0]
