@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,28 +11,67 @@ from ..functions.text import bare_key, prefix_of, rfc3339
 
 #: Catalog entries that are broadcast; a larger catalog is joined by shuffle.
 BROADCAST_ENTRIES = 100_000
-SCHEMA = "entries array<struct<dataset:string,key_prefix:string,version_id:string,mount_path:string>>"
+ENTRY = "struct<dataset:string,key_prefix:string,version_id:string,mount_path:string>"
+SCHEMA = f"entries array<{ENTRY}>"
+#: First and last line of a file that has one entry a line; the tab, which JSON ignores, tells it from other files.
+HEAD, TAIL = '{"entries":\t[', "]}"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a catalog file: line by line if ``write`` made it, else as one document."""
+    from . import snapshot
+
+    fs, p = snapshot._fs(spark, path)
+    if fs.isFile(p):
+        head = fs.open(p)
+        try:
+            by_line = bytes(head.readNBytes(len(HEAD) + 1)) == f"{HEAD}\n".encode()
+        finally:
+            head.close()
+        if by_line:
+            line = F.col("value")
+            lines = spark.read.text(path).where(~line.isin(HEAD, TAIL))
+            return lines.select(F.from_json(F.ltrim(line, F.lit(",")), ENTRY, {"mode": "FAILFAST"}).alias("e")).select("e.*")
     return spark.read.schema(SCHEMA).json(path, multiLine=True).select(F.explode("entries").alias("e")).select("e.*")
 
 
 def write(entries: DataFrame, path: str) -> None:
     """Write the catalog file under a temporary name and rename it over ``path``.
 
-    A catalog is as long as a control plane's list of datasets; it is refused
-    beyond ``BROADCAST_ENTRIES``, and if two entries share a prefix.
+    One JSON document of any number of entries, one a line by prefix: the executors
+    write the lines, the driver copies them into one file as a stream.  A catalog in
+    which two entries share a prefix is refused.
     """
     from . import snapshot
 
-    columns = ["dataset", "key_prefix", "version_id", "mount_path"]
-    rows = [r.asDict() for r in entries.select(*columns).orderBy("key_prefix", "dataset").limit(BROADCAST_ENTRIES + 1).collect()]
-    if len(rows) > BROADCAST_ENTRIES:
-        raise ValueError(f"a catalog file holds {BROADCAST_ENTRIES} entries at most")
-    if len({r["key_prefix"] for r in rows}) < len(rows):
-        raise ValueError("two entries share a key prefix")
-    snapshot.publish(entries.sparkSession, path, json.dumps({"entries": rows}, ensure_ascii=False), "rename")
+    spark = entries.sparkSession
+    stage = f"{path}.{uuid.uuid4().hex[:12]}.parts"
+    fs, p = snapshot._fs(spark, stage)
+    rows = entries.select("key_prefix", F.struct("dataset", "key_prefix", "version_id", "mount_path").alias("e")).orderBy("key_prefix", "e.dataset")
+    try:
+        rows.select(F.concat(F.lit(","), F.to_json("e", {"ignoreNullFields": "false"}))).write.option("compression", "none").text(stage)
+        staged = spark.read.text(stage).select(F.from_json(F.ltrim("value", F.lit(",")), ENTRY, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+        if not duplicate_prefixes(staged).isEmpty():
+            raise ValueError("two entries share a key prefix")
+        out = fs.create(snapshot._fs(spark, f"{path}.tmp")[1], True)
+        try:
+            out.write(bytearray(f"{HEAD}\n".encode()))
+            first = True
+            for part in sorted((s.getPath() for s in fs.listStatus(p) if s.getLen()), key=lambda x: x.getName()):
+                lines = fs.open(part)
+                try:
+                    if first:
+                        lines.seek(1)  # no comma before the first entry
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(lines, out, 1 << 16, False)
+                finally:
+                    lines.close()
+                first = False
+            out.write(bytearray(TAIL.encode()))
+        finally:
+            out.close()
+        snapshot.rename_over(spark, f"{path}.tmp", path)
+    finally:
+        fs.delete(p, True)
 
 
 def duplicate_prefixes(entries: DataFrame) -> DataFrame:

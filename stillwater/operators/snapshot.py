@@ -109,13 +109,18 @@ def publish(spark: SparkSession, path: str, text: str, marker: str = "rename") -
     if marker != "rename":
         raise ValueError(f"unknown marker {marker}")
     _write_text(spark, f"{path}.tmp", text)
-    tmp, final = (_fs(spark, f"{path}{end}")[1] for end in (".tmp", ""))
+    rename_over(spark, f"{path}.tmp", path)
+
+
+def rename_over(spark: SparkSession, tmp: str, path: str) -> None:
+    """Rename over a file that may be there, in one step: a reader sees the old or the new one."""
+    source, final = (_fs(spark, x)[1] for x in (tmp, path))
     jvm = spark._jvm
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
     rename = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
     jvm.java.lang.reflect.Array.set(rename, 0, jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE"))
     try:
-        context.rename(tmp, final, rename)  # over a manifest that is there, in one step: a reader sees the old or the new one
+        context.rename(source, final, rename)
     except Exception as e:
         raise SnapshotError(f"cannot publish {path}") from e
 

@@ -472,3 +472,23 @@ def test_assignments_equal_plain_sets_and_shuffle_no_pairs(spark):
     assert sorted(map(tuple, got.collect())) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not __import__("re").search(r"hashpartitioning\(node#\d+L?, dataset#", plan) and "Cross" not in plan.split("Generate explode(transform(datasets")[0]
+
+
+def test_catalog_files_have_any_number_of_entries(spark, tmp_path):
+    columns = ["dataset", "key_prefix", "version_id", "mount_path"]
+    odd = [("a,\n\r]}", "p\u2028\"", None, ",,"), ("ü", "{\"entries\":\t[", "v", "]}"), (None, "", "", "\t")]
+    many = catalog.BROADCAST_ENTRIES + 1
+    rows = spark.range(many).selectExpr("'d' || id as dataset", "'p' || id as key_prefix", "'v1' as version_id", "'/m' as mount_path").unionByName(spark.createDataFrame(odd, ", ".join(f"{c} string" for c in columns)))
+    path = f"file://{tmp_path}/c.json"
+    for _ in range(2):  # the second replaces the first
+        catalog.write(rows, path)
+    back = catalog.read(spark, path)
+    assert back.columns == columns and back.count() == many + 3 and back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
+    document = json.loads((tmp_path / "c.json").read_text())["entries"]
+    assert len(document) == many + 3 and {tuple(e[c] for c in columns) for e in document} >= set(odd)
+    assert [e["key_prefix"].encode() for e in document] == sorted(e["key_prefix"].encode() for e in document)
+    assert sorted(x for x in os.listdir(tmp_path) if not x.startswith(".")) == ["c.json"]
+    (tmp_path / "d.json").write_text(json.dumps({"entries": document[:5]}, indent=1))
+    assert {tuple(r) for r in catalog.read(spark, f"file://{tmp_path}/d.json").collect()} == {tuple(e[c] for c in columns) for e in document[:5]}
+    catalog.write(rows.limit(0), path)
+    assert catalog.read(spark, path).isEmpty() and json.loads((tmp_path / "c.json").read_text()) == {"entries": []}
