@@ -16,12 +16,12 @@ import hashlib
 import json
 import time
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ from .snapshot import SnapshotError
 FILTER_KEYS = 1_000_000
 #: Bits a key and probes of a filter: one key in 250 that is not there passes.
 FILTER_BITS, FILTER_PROBES = 12, 8
+#: Fingerprints whose bit numbers are held at once.
+FILTER_SLICE = 65_536
 #: Keys to read up to which their fingerprints go into the scan's filter, so that row groups are skipped.
 PUSHED_KEYS = 2_000
 #: Keys to read up to which they are broadcast.
@@ -116,7 +118,8 @@ def filter_bytes(fp: np.ndarray) -> bytes:
     fp = np.unique(fp)
     bits = max(64, -(-len(fp) * FILTER_BITS // 64) * 64)
     on = np.zeros(bits, np.uint8)
-    on[_positions(fp, bits).ravel().astype(np.int64)] = 1
+    for at in range(0, len(fp), FILTER_SLICE):
+        on[_positions(fp[at : at + FILTER_SLICE], bits).ravel().astype(np.int64)] = 1
     return np.packbits(on, bitorder="little").tobytes()
 
 
@@ -126,37 +129,71 @@ def might_contain(data: bytes, fp: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
+def _buckets_for(largest: int) -> int:
+    return 1 << max(0, (-(-max(1, largest) // FILTER_KEYS) - 1).bit_length())
+
+
+def filter_buckets(placed: DataFrame) -> int:
+    """Filters that each partition of ``placed`` needs, by its largest."""
+    return _buckets_for(placed.groupBy("partition_id").count().agg(F.max("count").alias("n")).first().n or 0)
+
+
 FILTER_SCHEMA = "partition_id int, bucket long, n_keys long, filter binary, checksum long"
 
 
 def partition_filters(placed: DataFrame, buckets: int = 1) -> DataFrame:
-    """A filter for each (partition, bucket) of ``placed(partition_id, fp)`` that has keys, with its checksum."""
+    """A filter for each (partition, bucket) of ``placed(partition_id, fp)`` that has keys, with its checksum.
 
-    def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        data = filter_bytes(pdf["fp"].to_numpy(np.int64))
-        return pd.DataFrame({"partition_id": [key[0]], "bucket": [key[1]], "n_keys": [len(pdf)], "filter": [data], "checksum": [zlib.crc32(data)]})
+    A worker holds the distinct fingerprints of one bucket; ``filter_buckets`` keeps them few.
+    """
+
+    def make(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, fresh, held, n = np.empty(0, np.int64), [], 0, 0
+        for batch in batches:
+            fresh.append(np.array(batch.column("fp"), np.int64))
+            n, held = n + batch.num_rows, held + batch.num_rows
+            if held > max(len(seen), FILTER_SLICE):
+                seen, fresh, held = np.unique(np.concatenate([seen, *fresh])), [], 0
+        data = filter_bytes(np.concatenate([seen, *fresh]))
+        yield pa.RecordBatch.from_pydict(
+            {"partition_id": pa.array([key[0].as_py()], pa.int32()), "bucket": pa.array([key[1].as_py()], pa.int64()), "n_keys": pa.array([n], pa.int64()), "filter": pa.array([data], pa.binary()), "checksum": pa.array([zlib.crc32(data)], pa.int64())}
+        )
 
     rows = placed.select("partition_id", H.radix_bucket(F.col("fp"), buckets).alias("bucket"), "fp")
-    return rows.groupBy("partition_id", "bucket").applyInPandas(make, FILTER_SCHEMA)
+    return rows.groupBy("partition_id", "bucket").applyInArrow(make, FILTER_SCHEMA)
 
 
 def filtered(probes: DataFrame, filters: DataFrame, buckets: int = 1) -> DataFrame:
     """``probes(key, partition_id, fp)`` that their partition's filter lets through; none where there is no filter.
 
-    A filter whose checksum is wrong raises: it must never turn into a miss.
+    A filter whose checksum is wrong raises: it must never turn into a miss.  A
+    group is its filter and then its probes, batch by batch, so a worker holds one
+    filter and one batch however many probes there are.
     """
-    asked = probes.withColumn("bucket", H.radix_bucket(F.col("fp"), buckets))
-
-    def probe(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return left.iloc[:0]
-        data = bytes(right["filter"].iloc[0])
-        if zlib.crc32(data) != right["checksum"].iloc[0]:
-            raise SnapshotError(f"damaged filter of partition {key[0]}")
-        return left[might_contain(data, left["fp"].to_numpy(np.int64))]
-
-    keys = ["partition_id", "bucket"]
-    return asked.groupBy(*keys).cogroup(filters.groupBy(*keys)).applyInPandas(probe, asked.schema).drop("bucket")
+    keys, columns = ["partition_id", "bucket"], probes.columns
+    asked = probes.select("*", H.radix_bucket(F.col("fp"), buckets).alias("bucket"), F.lit(1).alias("_side"))
+    sieves = filters.select(*keys, F.lit(0).alias("_side"), F.col("filter").alias("_filter"), F.col("checksum").alias("_checksum"))
+    rows = asked.unionByName(sieves, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "_side")
+
+    def probe(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, early = None, []
+        for batch in batches:
+            side = np.array(batch.column("_side"))
+            if data is None and (side == 0).any():
+                at = int(np.argmin(side))
+                data = batch.column("_filter")[at].as_py()
+                if zlib.crc32(data) != batch.column("_checksum")[at].as_py():
+                    raise SnapshotError(f"damaged filter of partition {key[0].as_py()}")
+            asking = batch.select(columns).filter(pa.array(side == 1))
+            if data is None:  # only if an engine does not keep the order inside a group
+                early.append(asking)
+                continue
+            for part in (*early, asking):
+                if part.num_rows:
+                    yield part.filter(pa.array(might_contain(data, np.array(part.column("fp"), np.int64))))
+            early = []
+
+    return rows.groupBy(*keys).applyInArrow(probe, probes.schema)
 
 
 # ------------------------------------------------------------------ building
@@ -264,7 +301,7 @@ def build(
 
     began, skipped = time.monotonic(), _exists(spark, f"{root}/filters/_SUCCESS")
     largest = max((s.n_keys for s in per), default=0)
-    buckets = 1 << max(0, (-(-largest // FILTER_KEYS) - 1).bit_length())
+    buckets = _buckets_for(largest)
     if not skipped:
         partition_filters(data, buckets).write.mode("overwrite").parquet(f"{root}/filters")
     told(Progress("filters", total.n_keys if total else 0, 0, time.monotonic() - began, skipped))

@@ -228,7 +228,8 @@ def radix_buckets(spark, sf):
 @query(f"select count(*) as n_hits, count(*) as n_kept from {REQ} r join {ORD} o using (key)")
 def bloom_prefilter(spark, sf):
     snap = layout.addressed(order_pairs(spark, sf), 4)
-    kept = store.filtered(probes(spark, sf), store.partition_filters(snap)).select("key", F.lit(1).alias("kept"))
+    buckets = store.filter_buckets(snap)
+    kept = store.filtered(probes(spark, sf), store.partition_filters(snap, buckets), buckets).select("key", F.lit(1).alias("kept"))
     hits = order_requests(spark, sf).join(snap.select("key"), "key")
     return hits.join(kept, "key", "left").agg(F.count("*").alias("n_hits"), F.count("kept").alias("n_kept"))
 

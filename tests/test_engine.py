@@ -492,3 +492,24 @@ def test_catalog_files_have_any_number_of_entries(spark, tmp_path):
     assert {tuple(r) for r in catalog.read(spark, f"file://{tmp_path}/d.json").collect()} == {tuple(e[c] for c in columns) for e in document[:5]}
     catalog.write(rows.limit(0), path)
     assert catalog.read(spark, path).isEmpty() and json.loads((tmp_path / "c.json").read_text()) == {"entries": []}
+
+
+def test_filters_are_built_and_asked_batch_by_batch(spark, monkeypatch):
+    monkeypatch.setattr(store, "FILTER_KEYS", 4_000)
+    keys = spark.range(30_000).selectExpr("cast('k' || id as binary) as key", "cast(null as binary) as value")
+    placed = layout.addressed(keys, 2).select("partition_id", "fp", "key")
+    buckets = store.filter_buckets(placed)
+    assert buckets == 4 and store.filter_buckets(placed.limit(0)) == 1
+    filters = store.partition_filters(placed.unionByName(placed), buckets).cache()
+    assert filters.agg(F.sum("n_keys")).first()[0] == 60_000 and filters.count() == 8
+    assert filters.where(F.octet_length("filter") * 8 > F.col("n_keys") / 2 * 12 + 64).isEmpty()  # as large as distinct keys ask for
+    absent = layout.addressed(spark.range(30_000).selectExpr("cast('a' || id as binary) as key", "cast(null as binary) as value"), 2).select("key", "fp", "partition_id")
+    got = store.filtered(placed.unionByName(absent).unionByName(placed), filters, buckets)
+    assert got.columns == ["partition_id", "fp", "key"]
+    n = {bool(r.there): r.n for r in got.groupBy(F.col("key").cast("string").startswith("k").alias("there")).agg(F.count("*").alias("n")).collect()}
+    assert n[True] == 60_000 and n.get(False, 0) < 600
+    one = F.col("bucket") == 0
+    assert store.filtered(placed, filters.where(~one), buckets).count() == 30_000 - filters.where(one).agg(F.sum("n_keys") / 2).first()[0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "InPandas" not in plan
+    assert "_side" in next(x for x in plan.split("\n") if "Sort [" in x)  # nothing sorts again above the order that has the filter first
