@@ -669,11 +669,12 @@ def load_then_get(spark, sf):
 def partition_filters(spark, sf):
     """A filter per partition: no key of it is lost, and of keys that it lacks under one in a hundred passes."""
     placed = layout.addressed(order_pairs(spark, sf), 4)
-    filters = store.partition_filters(placed)
-    kept = store.filtered(placed.select("key", "partition_id", "fp"), filters).groupBy("partition_id").agg(F.count("*").alias("kept"))
+    buckets = store.filter_buckets(placed)
+    filters = store.partition_filters(placed, buckets)
+    kept = store.filtered(placed.select("key", "partition_id", "fp"), filters, buckets).groupBy("partition_id").agg(F.count("*").alias("kept"))
     absent = t(spark, sf, "orders").select(F.lpad((F.col("o_orderkey") + 50_000_000).cast("string"), 8, "0").alias("key"))
     others = layout.addressed(absent, 4).select("key", "partition_id", "fp")
-    passed = store.filtered(others, filters).groupBy("partition_id").agg(F.count("*").alias("passed"))
+    passed = store.filtered(others, filters, buckets).groupBy("partition_id").agg(F.count("*").alias("passed"))
     rows = placed.groupBy("partition_id").agg(F.count("*").alias("n_keys")).join(kept, "partition_id", "left").join(passed, "partition_id", "left")
     return rows.select("partition_id", "n_keys", (F.col("n_keys") - F.coalesce("kept", F.lit(0))).alias("lost"), (F.coalesce("passed", F.lit(0)) <= 5 + F.col("n_keys") / 100).alias("few_pass"))
 
