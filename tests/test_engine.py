@@ -513,3 +513,12 @@ def test_filters_are_built_and_asked_batch_by_batch(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "InPandas" not in plan
     assert "_side" in next(x for x in plan.split("\n") if "Sort [" in x)  # nothing sorts again above the order that has the filter first
+
+
+def test_gets_hold_no_group_of_requests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FILTER_KEYS", 40)
+    root = f"file://{tmp_path}/s"
+    assert store.build(docs_like(spark), root, n=2)["filter_buckets"] == 4
+    got = store.Lookup(spark, root).get(docs_like(spark))
+    assert got.where("status = 'hit'").count() == 300
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
